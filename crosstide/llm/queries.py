@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, language, packing, secret_scan, simhash, url_filter
+from crosstide.llm import bpe, language, neardup, packing, secret_scan, simhash, url_filter
 from crosstide.llm._common import table
 
 #: The url rules of the contract (host, path, verdict).
@@ -35,6 +35,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_and_edit(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, share=(85, 100))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), with_decoded=True)
     return encoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -65,7 +69,8 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 """
 
 QUERIES = {
-    "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_simhash": op3_simhash, "op7_bpe": op7_bpe,
+    "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_simhash": op3_simhash,
+    "op4_near_duplicates": op4_near_duplicates, "op7_bpe": op7_bpe,
     "op8_url_filter": op8_url_filter, "op9_language": op9_language,
 }
 ORACLES = {"op8_url_filter": OP8_SQL}
