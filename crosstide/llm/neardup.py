@@ -190,9 +190,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
         if not across:
             break
         if across <= MANY * reps.count() + 10_000 or turn == ROUNDS:
-            one = open_rows.select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("l_x"))
+            # A pair across components has a member outside the commonest one of its bucket.
+            common = open_rows.groupBy("key", "label").agg(F.count("id").alias("k")).groupBy("key").agg(F.max_by("label", "k").alias("common"))
+            one = open_rows.join(common, "key").where("label <> common").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("l_x"))
             other = open_rows.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("l_y"))
-            rest = one.join(other, "key").where(F.col("l_x") < F.col("l_y")).where(close(F.col("n_x"), F.col("n_y"))).select("x", "y").distinct()
+            rest = one.join(other, "key").where(F.col("l_x") != F.col("l_y")).where(close(F.col("n_x"), F.col("n_y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             links = settled(rest, links)
             labels = components(links)
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crosstide.llm import bpe, language, neardup, packing, secret_scan, simhash, url_filter
+from crosstide.llm import bpe, language, lattice, neardup, packing, secret_scan, simhash, url_filter
 from crosstide.llm._common import table
 
 #: The url rules of the contract (host, path, verdict).
@@ -56,6 +56,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, learned).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 OP8_SQL = """
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 raw AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
@@ -71,6 +75,6 @@ FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
 QUERIES = {
     "op1_packing": op1_packing, "op2_secret_scan": op2_secret_scan, "op3_simhash": op3_simhash,
     "op4_near_duplicates": op4_near_duplicates, "op7_bpe": op7_bpe,
-    "op8_url_filter": op8_url_filter, "op9_language": op9_language,
+    "op8_url_filter": op8_url_filter, "op9_language": op9_language, "op10_lattice": op10_lattice,
 }
 ORACLES = {"op8_url_filter": OP8_SQL}
