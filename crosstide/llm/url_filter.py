@@ -68,11 +68,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path")).withColumn("_row", F.monotonically_increasing_id())
     if not shapes:
         return rows.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    per_host = []
-    for k, sizes in ((s["k"], s["n"]) for s in shapes):
+    def expressions(k: int, sizes: list[int]) -> Column:
         suffix = F.substring_index("_host", ".", -k)
         fitting = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: (F.length("_path") >= n) & (_labels(F.col("_host")) >= k))
-        per_host.append(F.transform(fitting, lambda n, suffix=suffix: F.concat(suffix, F.col("_path").substr(F.lit(1), n))))
+        return F.transform(fitting, lambda n: F.concat(suffix, F.col("_path").substr(F.lit(1), n)))
+
+    per_host = [expressions(s["k"], s["n"]) for s in shapes]
     expanded = rows.withColumn("_e", F.explode_outer(F.concat(*per_host))).withColumn("_d", _digest(F.col("_e")))
     keys = prepared.select("rule_digest", "rule_prefix", "precedence")
     met = expanded.join(keys, (F.substring("_d", 1, PREFIX_DIGITS) == F.col("rule_prefix")) & (F.col("_d") == F.col("rule_digest")), "left")
