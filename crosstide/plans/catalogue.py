@@ -1,4 +1,501 @@
-"""Registered queries and their SQL."""
+"""The registered queries, each with independent DuckDB SQL where SQL can say it.
 
-QUERIES = {}
-ORACLES = {}
+Numbers are rounded alike on both sides: six digits, two for amounts of money.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from crosstide.functions import scalar as s
+from crosstide.operators import cross_section as cs
+from crosstide.operators import events as evt
+from crosstide.operators import ledger
+from crosstide.operators import metrics as m
+from crosstide.operators import time_series as ts
+from crosstide.operators.chain import weights
+from crosstide.plans import demo
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+CHAIN = [("rank", None), ("neutralize", "g"), ("linear_decay", 3), ("truncate", 0.02), ("scale", "book")]
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(s.col(c).cast("double"), digits) + F.lit(0.0)
+
+
+def _cells(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.select(F.col("di").cast("int").alias("di"), F.col("ii").cast("long").alias("ii"), *[r(c, digits).alias(c) for c in columns])
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ SQL fragments
+EV = "ev AS (SELECT CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS INTEGER) AS di, user_id AS ii, sum(value) AS x, count(*) AS n FROM events GROUP BY 1, 2)"
+EVG = EV + """, evg AS (SELECT d.di, u.ii, e.x, e.n, CASE WHEN u.ii % 11 = 0 THEN NULL ELSE u.ii % 5 END AS g
+  FROM (SELECT unnest(generate_series(0, (SELECT max(di) FROM ev)))::INTEGER AS di) d CROSS JOIN (SELECT DISTINCT ii FROM ev) u LEFT JOIN ev e ON e.di = d.di AND e.ii = u.ii)"""
+EVP = EVG + """, m5 AS (SELECT *, avg(x) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m FROM evg),
+evp AS (SELECT di, ii, x, g, coalesce(m IS NOT NULL AND (SELECT count(*) FROM m5 b WHERE b.di = a.di AND b.m > a.m) + ((SELECT count(*) FROM m5 b WHERE b.di = a.di AND b.m = a.m) + 1) / 2.0 <= 100, false) AS in_pool FROM m5 a)"""
+SP = """sp0 AS (SELECT year(l_shipdate) * 12 + month(l_shipdate) AS m, l_suppkey AS ii, sum(l_extendedprice) / sum(l_quantity) AS px, sum(l_quantity) AS vol FROM lineitem GROUP BY 1, 2),
+sp AS (SELECT CAST(m - (SELECT min(m) FROM sp0) AS INTEGER) AS di, ii, px, vol FROM sp0)"""
+SPG = SP + """, spg0 AS (SELECT d.di, u.ii, p.px, p.vol FROM (SELECT unnest(generate_series(0, (SELECT max(di) FROM sp)))::INTEGER AS di) d CROSS JOIN (SELECT DISTINCT ii FROM sp) u LEFT JOIN sp p ON p.di = d.di AND p.ii = u.ii),
+spg AS (SELECT *, px / nullif(lag(px) OVER (PARTITION BY ii ORDER BY di), 0) - 1 AS ret FROM spg0)"""
+#: Ranks of v in table t by di, ties averaged, spread over [-0.5, 0.5].
+RANK = """CASE WHEN {v} IS NULL THEN NULL WHEN count({v}) OVER (PARTITION BY di) <= 1 THEN 0.0 ELSE
+  (rank() OVER (PARTITION BY di, {v} IS NULL ORDER BY {v}) + (count(*) OVER (PARTITION BY di, {v}) - 1) / 2.0 - 1) / (count({v}) OVER (PARTITION BY di) - 1) - 0.5 END"""
+BOOK_CTE = SPG + f""", mom AS (SELECT *, -(px / nullif(lag(px, 3) OVER (PARTITION BY ii ORDER BY di), 0) - 1) AS v FROM spg),
+rk AS (SELECT *, {RANK.format(v='v')} AS k FROM mom),
+book AS (SELECT *, coalesce(k / nullif(sum(abs(k)) OVER (PARTITION BY di), 0), 0.0) AS w FROM rk)"""
+LEDGER = BOOK_CTE + """, tgt AS (SELECT *, coalesce(w / nullif(sum(abs(w)) OVER (PARTITION BY di), 0), 0) * 1e6 AS pos FROM book),
+prv AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY ii ORDER BY di), 0) AS prev FROM tgt),
+hpn AS (SELECT *, prev * coalesce(ret, 0) AS hp FROM prv),
+dlt AS (SELECT *, pos - prev - hp AS delta FROM hpn),
+cells AS (SELECT *, abs(delta) * 0.001 AS cost, hp - abs(delta) * 0.001 AS pnl FROM dlt),
+daily AS (SELECT di, sum(greatest(pos, 0)) AS long_value, sum(least(pos, 0)) AS short_value, sum(abs(delta)) AS trade_dollar, sum(hp) AS holding_pnl, sum(cost) AS cost, sum(pnl) AS pnl, sum(pnl) / 1e6 AS ret,
+  sum(sum(-(delta + cost))) OVER (ORDER BY di) AS cash_account, sum(pos) AS net, avg(cells.ret) AS market_ret, sum((pos > 0)::INT) AS long_count, sum((pos < 0)::INT) AS short_count FROM cells GROUP BY di)"""
+S_LINES = "splits AS (SELECT o_orderkey % 100 AS ii, CAST(o_orderdate AS DATE) AS ex_date, 1 + (o_orderkey % 5) / 2.0 AS ratio, o_orderkey AS event FROM orders WHERE o_orderkey % 97 = 0)"
+B_LINES = "bars AS (SELECT l_suppkey AS ii, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) AS close FROM lineitem WHERE l_suppkey < 100 GROUP BY 1, 2)"
+
+
+def q(ctes: str, select: str) -> str:
+    return f"WITH {ctes} {select}"
+
+
+def rs(e: str, alias: str, digits: int = 6) -> str:
+    return f"(round(CAST({e} AS DOUBLE), {digits}) + 0.0) AS {alias}"
+
+
+# ------------------------------------------------------------------ panels and joins
+@register(q(EVG, f"SELECT di, ii, {rs('x', 'x')}, n FROM evg"))
+def panel_grid_align(spark, d):
+    return demo.dense(demo.ev(spark, d)).select(F.col("di").cast("int").alias("di"), "ii", r("x").alias("x"), "n")
+
+
+@register(q(EV, f"SELECT di, ii, {rs('x', 'x')} FROM ev WHERE di BETWEEN 5 AND 20"))
+def panel_range(spark, d):
+    return _cells(demo.ev(spark, d).where(F.col("di").between(5, 20)), "x")
+
+
+@register(q(EV, f"SELECT di, ii, {rs('x', 'x')} FROM ev WHERE di > (SELECT max(di) FROM ev) - 3"))
+def panel_tail(spark, d):
+    e = demo.ev(spark, d)
+    return _cells(e.crossJoin(F.broadcast(e.agg(F.max("di").alias("last")))).where(F.col("di") > F.col("last") - 3), "x")  # one row
+
+
+@register(q(EV, f"SELECT e.di, e.ii, {rs('e.x - k.mean', 'excess')} FROM ev e JOIN (SELECT di, avg(x) AS mean FROM ev GROUP BY di) k ON k.di = e.di"))
+def rank1_broadcast(spark, d):
+    e = demo.ev(spark, d)
+    mean = e.groupBy("di").agg(F.avg("x").alias("mean"))
+    return _cells(e.join(F.broadcast(mean), "di").withColumn("excess", F.col("x") - F.col("mean")), "excess")
+
+
+@register(q(EVP, "SELECT di, ii, in_pool FROM evp"))
+def universe_top_n(spark, d):
+    return demo.ev_pool(spark, d).select(F.col("di").cast("int").alias("di"), "ii", "in_pool")
+
+
+@register(q(EV, "SELECT di, count(DISTINCT ii) AS names, sum(n) AS events FROM ev GROUP BY di"))
+def panel_coverage(spark, d):
+    return demo.ev(spark, d).groupBy(F.col("di").cast("int").alias("di")).agg(F.countDistinct("ii").alias("names"), F.sum("n").alias("events"))
+
+
+# ------------------------------------------------------------------ cross-sections
+@register(q(EVG, f"SELECT di, ii, {rs(RANK.format(v='x'), 'y')} FROM evg"))
+def cs_rank(spark, d):
+    return _cells(cs.rank(demo.ev_grid(spark, d), "x", "y"), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('x - avg(x) OVER (PARTITION BY di, g)', 'y')} FROM evg"))
+def cs_neutralize(spark, d):
+    return _cells(cs.neutralize(demo.ev_grid(spark, d), "x", "g", "y"), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('x - avg(x) OVER (PARTITION BY di)', 'y')} FROM evg"))
+def cs_demean(spark, d):
+    return _cells(cs.demean(demo.ev_grid(spark, d), "x", "y"), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('CASE WHEN stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w ELSE x * 0 END', 'y')} FROM evg WINDOW w AS (PARTITION BY di)"))
+def cs_zscore(spark, d):
+    return _cells(cs.zscore(demo.ev_grid(spark, d), "x", "y"), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, CASE WHEN x IS NULL THEN NULL ELSE {rs('greatest(-0.01 * sum(abs(x)) OVER w, least(x, 0.01 * sum(abs(x)) OVER w))', 'y').removesuffix(' AS y')} END AS y FROM evg WINDOW w AS (PARTITION BY di)"))
+def cs_truncate(spark, d):
+    return _cells(cs.truncate(demo.ev_grid(spark, d), "x", 0.01, "y"), "y")
+
+
+@register(q(EVP, f"SELECT di, ii, {rs('coalesce(CASE WHEN in_pool THEN x END / nullif(sum(abs(CASE WHEN in_pool THEN x END)) OVER (PARTITION BY di), 0), 0)', 'w')} FROM evp"))
+def cs_scale_gate(spark, d):
+    return _cells(cs.scale(demo.ev_pool(spark, d), "x", "in_pool", "w"), "w")
+
+
+@register(q(EV, f"SELECT di, {rs('sum(abs(x))', 'gross')} FROM ev GROUP BY di"))
+def cs_gross(spark, d):
+    e = demo.ev(spark, d).withColumn("gross", cs.gross("x"))
+    return e.groupBy(F.col("di").cast("int").alias("di")).agg(r(F.max("gross")).alias("gross"))
+
+
+# ------------------------------------------------------------------ time series
+@register(q(EVG, f"SELECT a.di, a.ii, {rs('b.x', 'y')} FROM evg a LEFT JOIN evg b ON b.ii = a.ii AND b.di = a.di - 2"))
+def ts_delay(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.delay("x", 2)), "y")
+
+
+@register(q(EVG, f"SELECT a.di, a.ii, {rs('sum(b.x * (5 - (a.di - b.di))) / nullif(sum(CASE WHEN b.x IS NOT NULL THEN 5 - (a.di - b.di) END), 0)', 'y')} FROM evg a JOIN evg b ON b.ii = a.ii AND b.di BETWEEN a.di - 4 AND a.di GROUP BY a.di, a.ii"))
+def ts_linear_decay(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.linear_decay("x", 5)), "y")
+
+
+@register(q(EVG, f"SELECT a.di, a.ii, {rs('sum(b.x * pow(0.5, (a.di - b.di) / 3.0)) / nullif(sum(CASE WHEN b.x IS NOT NULL THEN pow(0.5, (a.di - b.di) / 3.0) END), 0)', 'y')} FROM evg a JOIN evg b ON b.ii = a.ii AND b.di <= a.di GROUP BY a.di, a.ii"))
+def ts_exp_decay(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.exp_decay("x", 3, 0, 30)), "y")
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('px / nullif(lag(px, 6) OVER (PARTITION BY ii ORDER BY di), 0) - 1', 'y')} FROM spg"))
+def ts_momentum(spark, d):
+    return _cells(demo.sp_grid(spark, d).withColumn("y", ts.momentum("px", 6)), "y")
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('-(px / nullif(lag(px, 3) OVER (PARTITION BY ii ORDER BY di), 0) - 1) / nullif(stddev_samp(ret) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) * sqrt(252), 0)', 'y')} FROM spg"))
+def ts_reversal_volnorm(spark, d):
+    frame = demo.sp_grid(spark, d).withColumns({"_m": ts.momentum("px", 3), "_v": ts.deviation("ret", 12)})
+    return _cells(frame.withColumn("y", s.safe_div(-F.col("_m"), F.col("_v") * math.sqrt(252))), "y")
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('avg(px * vol) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)', 'y')} FROM spg"))
+def ts_adv20(spark, d):
+    return _cells(demo.sp_grid(spark, d).withColumn("_v", F.col("px") * F.col("vol")).withColumn("y", ts.mean("_v", 20)), "y")
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('avg(abs(ret) / nullif(px * vol, 0)) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * 1e6', 'y')} FROM spg"))
+def ts_illiq20(spark, d):
+    frame = demo.sp_grid(spark, d).withColumn("_v", s.safe_div(F.abs("ret"), F.col("px") * F.col("vol")))
+    return _cells(frame.withColumn("y", ts.mean("_v", 20) * 1e6), "y")
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('stddev_samp(ret) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(252)', 'y')} FROM spg"))
+def ts_rvol20(spark, d):
+    return _cells(demo.sp_grid(spark, d).withColumn("y", ts.deviation("ret", 20) * math.sqrt(252)), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, CASE WHEN count(x) OVER w >= 8 THEN {rs('avg(x) OVER w', 'y').removesuffix(' AS y')} END AS y FROM evg WINDOW w AS (PARTITION BY ii ORDER BY di ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
+def ts_rolling_min_periods(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.mean("x", 10, 8)), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('x / nullif(lag(x) OVER (PARTITION BY ii ORDER BY di), 0) - 1', 'y')} FROM evg"))
+def ts_pct_change(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.pct_change("x")), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)', 'y')} FROM evg"))
+def ts_ffill(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", F.coalesce(ts.forward_fill("x"), F.lit(0.0))), "y")
+
+
+@register(q(EVG, f"SELECT di, ii, {rs('median(x) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 'y')} FROM evg"))
+def ts_rolling_median(spark, d):
+    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.median("x", 7)), "y")
+
+
+RUNS = EVG + """, isl AS (SELECT *, row_number() OVER (PARTITION BY ii ORDER BY di) - row_number() OVER (PARTITION BY ii, x IS NULL ORDER BY di) AS k FROM evg),
+runs AS (SELECT *, CASE WHEN x IS NULL THEN count(*) OVER (PARTITION BY ii, x IS NULL, k) END AS run FROM isl)"""
+
+
+@register(q(RUNS, "SELECT di, ii, coalesce(run >= 2, false) AS halted FROM runs"))
+def halt_proxy_runs(spark, d):
+    return ts.halted_by_proxy(demo.ev_grid(spark, d), "x", 2).select(F.col("di").cast("int").alias("di"), "ii", "halted")
+
+
+@register(q(RUNS, "SELECT run AS run_length, CAST(count(*) / run AS BIGINT) AS runs FROM runs WHERE run IS NOT NULL GROUP BY run"))
+def nan_run_histogram(spark, d):
+    return ts.run_length_histogram(demo.ev_grid(spark, d), "x")
+
+
+@register(q(EVG, "SELECT di, ii FROM (SELECT di, ii, x IS NULL AS f, coalesce(bool_or(x IS NULL) OVER (PARTITION BY ii ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS b FROM evg) WHERE f AND NOT b"))
+def first_occurrence(spark, d):
+    return demo.ev_grid(spark, d).withColumn("_f", ts.first_time(F.col("x").isNull())).where("_f").select(F.col("di").cast("int").alias("di"), "ii")
+
+
+# ------------------------------------------------------------------ chains
+ALPHA = EVP + f""", c0 AS (SELECT di, ii, g, in_pool, CASE WHEN in_pool THEN x END AS v FROM evp),
+c1 AS (SELECT *, {RANK.format(v='v')} AS a FROM c0),
+c2 AS (SELECT *, a - avg(a) OVER (PARTITION BY di, g) AS b FROM c1),
+c3 AS (SELECT p.di, p.ii, any_value(p.in_pool) AS in_pool, sum(h.b * (3 - (p.di - h.di))) / nullif(sum(CASE WHEN h.b IS NOT NULL THEN 3 - (p.di - h.di) END), 0) AS e FROM c2 p JOIN c2 h ON h.ii = p.ii AND h.di BETWEEN p.di - 2 AND p.di GROUP BY p.di, p.ii),
+c4 AS (SELECT *, CASE WHEN e IS NULL THEN NULL WHEN coalesce(sum(abs(e)) OVER (PARTITION BY di), 0) <= 0 THEN e ELSE greatest(-0.02 * sum(abs(e)) OVER (PARTITION BY di), least(e, 0.02 * sum(abs(e)) OVER (PARTITION BY di))) END AS t FROM c3),
+c5 AS (SELECT *, CASE WHEN in_pool THEN t END AS u FROM c4)
+SELECT di, ii, (round(coalesce(CASE WHEN coalesce(sum(abs(u)) OVER (PARTITION BY di), 0) > 0 THEN u / sum(abs(u)) OVER (PARTITION BY di) ELSE u END, 0), 6) + 0.0) AS w FROM c5"""
+
+
+@register("WITH " + ALPHA)
+def alpha_chain_full(spark, d):
+    out = weights(demo.ev_pool(spark, d).withColumn("w", F.col("x")), "w", CHAIN, "in_pool", 0, 29)
+    return _cells(out, "w")
+
+
+@register(q(EVG, f"""SELECT di, ii, (round(coalesce(y / nullif(sum(abs(y)) OVER (PARTITION BY di), 0), 0), 6) + 0.0) AS w FROM (
+  SELECT di, ii, 0.6 * a + 0.4 * b AS y FROM (SELECT di, ii, {RANK.format(v='x')} AS a, x - avg(x) OVER (PARTITION BY di, g) AS b0, (x - avg(x) OVER (PARTITION BY di, g)) / nullif(sum(abs(x)) OVER (PARTITION BY di), 0) AS b FROM evg))"""))
+def alpha_combo_mix(spark, d):
+    grid = demo.ev_grid(spark, d).withColumn("_gross", cs.gross("x"))
+    grid = cs.neutralize(cs.rank(grid, "x", "_a"), "x", "g", "_b")
+    mixed = grid.withColumn("w", 0.6 * F.col("_a") + 0.4 * s.safe_div("_b", "_gross"))
+    return _cells(cs.scale(mixed, "w"), "w")
+
+
+@register(q(EVG, f"SELECT di, ii, (round(coalesce(y / nullif(sum(abs(y)) OVER (PARTITION BY di), 0), 0), 6) + 0.0) AS w FROM (SELECT a.di, a.ii, b.x AS y FROM evg a LEFT JOIN evg b ON b.ii = a.ii AND b.di = a.di - 3)"))
+def chain_delay_twice(spark, d):
+    return _cells(weights(demo.ev_grid(spark, d).withColumn("w", F.col("x")), "w", [("delay", 1), ("delay", 2), ("scale", None)]), "w")
+
+
+# ------------------------------------------------------------------ ledger and metrics
+@register(q(LEDGER, f"SELECT di, ii, {rs('prev', 'prev', 2)}, {rs('hp', 'hp', 2)}, {rs('delta', 'delta', 2)}, {rs('cost', 'cost', 2)}, {rs('pos', 'pos', 2)}, {rs('pnl', 'pnl', 2)} FROM cells"))
+def ledger_fast(spark, d):
+    return _cells(ledger.fast_cells(demo.sp_book(spark, d), demo.BOOK, 10.0), "prev", "hp", "delta", "cost", "pos", "pnl", digits=2)
+
+
+@register(q(LEDGER, "SELECT di, " + ", ".join(rs(c, c, 2) for c in ("long_value", "short_value", "trade_dollar", "holding_pnl", "cost", "pnl", "cash_account")) + f", {rs('net + cash_account', 'nav', 2)} FROM daily"))
+def ledger_daily(spark, d):
+    daily = ledger.fast_daily(ledger.fast_cells(demo.sp_book(spark, d), demo.BOOK, 10.0), demo.BOOK)
+    return daily.select(F.col("di").cast("int").alias("di"), *[r(c, 2).alias(c) for c in ("long_value", "short_value", "trade_dollar", "holding_pnl", "cost", "pnl", "cash_account", "nav")])
+
+
+@register(q(LEDGER, f"SELECT di, {rs('net + cash_account', 'nav', 2)}, {rs('sum(pnl) OVER (ORDER BY di)', 'cum_pnl', 2)} FROM daily"))
+def ledger_nav_identity(spark, d):
+    daily = ledger.fast_daily(ledger.fast_cells(demo.sp_book(spark, d), demo.BOOK, 10.0), demo.BOOK)
+    total = F.sum("pnl").over(Window.orderBy("di"))  # over one row per session
+    return daily.select(F.col("di").cast("int").alias("di"), r("nav", 2).alias("nav"), r(total, 2).alias("cum_pnl"))
+
+
+def _general(spark, d, **options):
+    book = demo.sp_book(spark, d)
+    return ledger.simulate(book.select("di", F.col("ii").cast("int").alias("ii"), "w"), book.select("di", F.col("ii").cast("int").alias("ii"), "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), keep=False, **options)
+
+
+GENERAL = [c for c in ledger.DAILY_COLUMNS if c not in ("oop_weight",)]
+
+
+@register()
+def ledger_general(spark, d):
+    """The fold with halts by proxy of two months and ghosts closed, every cell."""
+    cells = _general(spark, d, halt_proxy=2, ghost_tolerance=1.0).cells
+    return _cells(cells, "prev", "hp", "target", "delta", "cost", "settle", "pos", "pnl", digits=2)
+
+
+@register()
+def ledger_capped_fold(spark, d):
+    """The fold with a limit of a tenth of each name's mean dollar volume: its daily roll-up."""
+    grid = demo.sp_grid(spark, d)
+    adv = grid.select("di", F.col("ii").cast("int").alias("ii"), (F.col("px") * F.col("vol")).alias("adv"))
+    daily = _general(spark, d, adv_dollar=adv, ghost_tolerance=1.0).daily
+    return daily.select(F.col("di").cast("int").alias("di"), *[r(c, 2).alias(c) for c in GENERAL])
+
+
+DELISTED = LEDGER.replace("prev * coalesce(ret, 0)", "prev * coalesce(ret, 0)")
+
+
+@register(q(LEDGER, f"SELECT count(*) AS n_days, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)', 'sharpe')}, {rs('avg(ret) * 252', 'ann_return')}, {rs('avg(trade_dollar) / 1e6', 'turnover')}, {rs('sum(pnl) / nullif(sum(trade_dollar), 0) * 1e4', 'margin_bps')}, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) * sqrt(abs(avg(ret) * 252) / greatest(avg(trade_dollar) / 1e6, 0.125))', 'fitness')}, {rs('avg((pnl > 0)::INT)', 'hit_rate')}, {rs('sum(cost)', 'cost_total', 2)}, {rs('avg(long_count)', 'avg_long_count')} FROM daily"))
+def metrics_scalar(spark, d):
+    out = m.scalars(demo.sp_daily(spark, d), demo.BOOK)
+    return out.select("n_days", *[r(c).alias(c) for c in ("sharpe", "ann_return", "turnover", "margin_bps", "fitness", "hit_rate")], r("cost_total", 2).alias("cost_total"), r("avg_long_count").alias("avg_long_count"))
+
+
+@register(q(LEDGER + ", dated AS (SELECT *, strftime(DATE '1995-01-01' + to_months(di), '%Y') AS y, strftime(DATE '1995-01-01' + to_months(di), '%Y-%m') AS ym FROM daily)", f"SELECT coalesce(ym, y, 'all') AS period, count(*) AS days, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)', 'sharpe')}, {rs('sum(pnl)', 'pnl', 2)}, {rs('avg(trade_dollar) / 1e6', 'turnover')}, {rs('avg(long_value) / nullif(avg(long_value) + abs(avg(short_value)), 0)', 'long_share')} FROM dated GROUP BY GROUPING SETS ((), (y), (y, ym))"))
+def metrics_grouping_sets(spark, d):
+    out = m.periods(demo.sp_daily(spark, d), demo.BOOK)
+    return out.select("period", "days", r("sharpe").alias("sharpe"), r("pnl", 2).alias("pnl"), r("turnover").alias("turnover"), r("long_share").alias("long_share"))
+
+
+@register(q(LEDGER + ", cum AS (SELECT di, sum(pnl) OVER (ORDER BY di) AS c FROM daily), pk AS (SELECT di, c, greatest(max(c) OVER (ORDER BY di), 0) AS p FROM cum), tr AS (SELECT min(c - p) AS dd FROM pk), at AS (SELECT min(di) AS t FROM pk, tr WHERE c - p = dd)", f"SELECT {rs('-(SELECT dd FROM tr)', 'max_drawdown', 2)}, (SELECT min(di) FROM pk WHERE di <= (SELECT t FROM at) AND c = (SELECT max(c) FROM pk WHERE di <= (SELECT t FROM at))) AS from_di, (SELECT t FROM at) AS to_di"))
+def drawdown(spark, d):
+    return m.drawdown(demo.sp_daily(spark, d)).select(r("max_drawdown", 2).alias("max_drawdown"), F.col("from_di").cast("int").alias("from_di"), F.col("to_di").cast("int").alias("to_di"))
+
+
+@register(q(LEDGER, f"SELECT di, CASE WHEN count(ret) OVER w = 24 THEN {rs('avg(ret) OVER w / nullif(stddev_samp(ret) OVER w, 0) * sqrt(252)', 'y').removesuffix(' AS y')} END AS rolling_sharpe FROM daily WINDOW w AS (ORDER BY di ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"))
+def rolling_sharpe(spark, d):
+    return m.rolling_sharpe(demo.sp_daily(spark, d), 24).select(F.col("di").cast("int").alias("di"), r("rolling_sharpe").alias("rolling_sharpe"))
+
+
+@register(q(LEDGER + ", ok AS (SELECT ret AS y, market_ret AS x FROM daily WHERE market_ret IS NOT NULL), b AS (SELECT count(*) AS n_obs, regr_slope(y, x) AS beta, regr_r2(y, x) AS r2 FROM ok)", f"SELECT n_obs, {rs('beta', 'beta')}, {rs('r2', 'r2')}, {rs('(SELECT avg(y - beta * x) / stddev_samp(y - beta * x) * sqrt(252) FROM ok)', 'sharpe_hedged')} FROM b"))
+def beta_gate(spark, d):
+    return m.regression(demo.sp_daily(spark, d)).select("n_obs", r("beta").alias("beta"), r("r2").alias("r2"), r("sharpe_hedged").alias("sharpe_hedged"))
+
+
+@register(q(LEDGER + ", nm AS (SELECT ii, abs(sum(pnl)) AS p, row_number() OVER (ORDER BY abs(sum(pnl)) DESC, ii) AS k FROM cells GROUP BY ii)", f"SELECT {rs('sum(p)', 'total_abs_pnl', 2)}, {rs('sum(CASE WHEN k <= 1 THEN p END) / sum(p)', 'top1_share')}, {rs('sum(CASE WHEN k <= 5 THEN p END) / sum(p)', 'top5_share')}, {rs('sum(CASE WHEN k <= 20 THEN p END) / sum(p)', 'top20_share')}, {rs('(SELECT max(abs(pnl)) / sum(abs(pnl)) FROM daily)', 'top1_day_share')} FROM nm"))
+def concentration_topk(spark, d):
+    cells = ledger.fast_cells(demo.sp_book(spark, d), demo.BOOK, 10.0)
+    out = m.concentration(cells, demo.sp_daily(spark, d))
+    return out.select(r("total_abs_pnl", 2).alias("total_abs_pnl"), *[r(c).alias(c) for c in ("top1_share", "top5_share", "top20_share", "top1_day_share")])
+
+
+@register(q(LEDGER, f"SELECT {rs('sum(cost)', 'cost_total', 2)}, {rs('sum(pnl) + sum(cost)', 'pnl_gross', 2)}, {rs('(sum(pnl) + sum(cost)) / nullif(sum(cost), 0)', 'breakeven_cost')} FROM daily"))
+def breakeven(spark, d):
+    return m.breakeven(demo.sp_daily(spark, d)).select(r("cost_total", 2).alias("cost_total"), r("pnl_gross", 2).alias("pnl_gross"), r("breakeven_cost").alias("breakeven_cost"))
+
+
+@register(q(LEDGER + ", pl AS (SELECT ret, row_number() OVER (ORDER BY di) <= (SELECT count(*) FROM daily) // 2 AS a FROM daily)", f"SELECT {rs('avg(ret) FILTER (a) / nullif(stddev_samp(ret) FILTER (a), 0) * sqrt(252)', 'sharpe_first_half')}, {rs('avg(ret) FILTER (NOT a) / nullif(stddev_samp(ret) FILTER (NOT a), 0) * sqrt(252)', 'sharpe_second_half')} FROM pl"))
+def stability_halves(spark, d):
+    return m.halves(demo.sp_daily(spark, d)).select(r("sharpe_first_half").alias("sharpe_first_half"), r("sharpe_second_half").alias("sharpe_second_half"))
+
+
+@register(q(SPG, f"SELECT di, {rs('avg(ret)', 'market_ret')} FROM spg GROUP BY di"))
+def market_return(spark, d):
+    return demo.sp_grid(spark, d).groupBy(F.col("di").cast("int").alias("di")).agg(r(F.avg("ret")).alias("market_ret"))
+
+
+# ------------------------------------------------------------------ events and reference data
+@register(f"WITH {S_LINES}, {B_LINES} SELECT s.event, {rs('(SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date)', 'before')}, {rs('(SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date)', 'after')} FROM splits s")
+def asof_prev_next(spark, d):
+    return evt.as_of(demo.splits(spark, d), demo.bars(spark, d), "ii", "close").select("event", r("before").alias("before"), r("after").alias("after"))
+
+
+@register(f"WITH {S_LINES}, {B_LINES}, p AS (SELECT event, ii, ratio, (SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date) / nullif((SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date), 0) AS j FROM splits s) SELECT event, CASE WHEN j IS NULL THEN true ELSE abs(ln(j)) <= abs(ln(j / ratio)) END AS vendor_applied FROM p")
+def split_classify(spark, d):
+    return evt.classify_splits(demo.splits(spark, d), demo.bars(spark, d)).select("event", "vendor_applied")
+
+
+@register(f"WITH {S_LINES}, {B_LINES} SELECT b.ii, CAST(b.date AS VARCHAR) AS date, {rs('coalesce((SELECT product(ratio) FROM splits s WHERE s.ii = b.ii AND s.ex_date > b.date), 1)', 'factor')} FROM bars b")
+def theta_future_product(spark, d):
+    out = evt.later_product(demo.bars(spark, d), demo.splits(spark, d).where("ratio > 0"), "ii", "ratio", "factor")
+    return out.select("ii", F.col("date").cast("string").alias("date"), r("factor").alias("factor"))
+
+
+@register(q(SPG, f"SELECT di, ii, {rs('coalesce((SELECT product(1 + b.ret / 10) FROM spg b WHERE b.ii = a.ii AND b.di > a.di AND b.ret IS NOT NULL), 1)', 'y')} FROM spg a"))
+def reverse_cumprod(spark, d):
+    frame = demo.sp_grid(spark, d).withColumn("_f", 1 + F.col("ret") / 10)
+    return _cells(frame.withColumn("y", ts.future_product("_f")), "y")
+
+
+@register("SELECT c.c_custkey, n.n_name AS nation, coalesce(s.s_name, 'none') AS supplier FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN supplier s ON replace(s.s_name, 'Supplier#', 'X-') = replace(replace(c.c_name, 'Customer#', 'X.'), '.', '-')")
+def ref_join_normalised(spark, d):
+    c, n, sup = (demo.table(spark, d, t) for t in ("customer", "nation", "supplier"))
+    left = c.withColumn("key", s.fold_symbol(F.replace("c_name", F.lit("Customer#"), F.lit("X."))))
+    right = sup.select(s.fold_symbol(F.replace("s_name", F.lit("Supplier#"), F.lit("X-"))).alias("key"), "s_name")
+    out = left.join(right, "key", "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return out.select("c_custkey", F.col("n_name").alias("nation"), F.coalesce("s_name", F.lit("none")).alias("supplier"))
+
+
+@register("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS date, count(*) AS orders FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
+def anti_off_axis(spark, d):
+    orders = demo.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    axis = demo.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.to_date("l_shipdate").alias("date")).distinct()
+    return orders.join(axis, "date", "left_anti").groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
+
+
+@register(q(EV + ", f AS (SELECT ii, min(di) AS a FROM ev GROUP BY ii), s AS (SELECT DISTINCT di FROM ev)", "SELECT s.di, f.ii FROM s JOIN f ON f.a <= s.di"))
+def pit_listing(spark, d):
+    e = demo.ev(spark, d)
+    first = F.lit("2024-01-01").cast("date")
+    sessions = e.select("di").distinct().withColumn("date", F.date_add(first, F.col("di")))
+    securities = e.groupBy("ii").agg(F.date_add(first, F.min("di")).alias("first_trade_date"))
+    return evt.listed_on(sessions, securities).select(F.col("di").cast("int").alias("di"), "ii")
+
+
+@register("WITH old AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) AS security_id FROM customer WHERE c_custkey % 3 = 0) SELECT key, security_id FROM old UNION ALL SELECT c_custkey, (SELECT count(*) FROM old) + row_number() OVER (ORDER BY c_acctbal, c_custkey) FROM customer WHERE c_custkey % 3 <> 0")
+def id_registry_append(spark, d):
+    customer = demo.table(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
+    empty = spark.createDataFrame([], "key bigint, security_id bigint")
+    old = evt.register(empty, customer.where("key % 3 = 0").select("key"), ["key"], [F.col("key")])
+    return evt.register(old, customer, ["key"], [F.col("c_acctbal"), F.col("key")]).select("key", "security_id")
+
+
+JUMPS = SPG + ", j AS (SELECT ii, di, ret FROM spg WHERE abs(ret) > 0.25 AND NOT EXISTS (SELECT 1 FROM splits s WHERE s.ii = spg.ii AND date_diff('month', DATE '1995-01-01', s.ex_date) = spg.di))"
+
+
+def _jumps(spark, d):
+    months = demo.splits(spark, d).select("ii", F.floor(F.months_between(F.trunc("ex_date", "month"), F.lit("1995-01-01"))).cast("int").alias("di")).distinct()
+    return demo.sp_grid(spark, d).where(F.abs("ret") > 0.25).join(months, ["ii", "di"], "left_anti")
+
+
+@register(f"WITH {S_LINES}, {JUMPS} SELECT di, ii, {rs('ret', 'ret')} FROM j")
+def jump_detect(spark, d):
+    return _cells(_jumps(spark, d), "ret")
+
+
+@register(f"WITH {S_LINES}, {JUMPS} SELECT ii, count(*) AS n_jumps, min(di) AS first, max(di) AS last FROM j GROUP BY ii HAVING count(*) >= 2")
+def suspects_having(spark, d):
+    out = _jumps(spark, d).groupBy("ii").agg(F.count(F.lit(1)).alias("n_jumps"), F.min("di").cast("int").alias("first"), F.max("di").cast("int").alias("last"))
+    return out.where("n_jumps >= 2")
+
+
+@register(q(EV, "SELECT ii, count(*) AS n_sessions, min(di) AS first_session, max(di) AS last_session FROM ev GROUP BY ii"))
+def coverage(spark, d):
+    return demo.ev(spark, d).groupBy("ii").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("di").cast("int").alias("first_session"), F.max("di").cast("int").alias("last_session"))
+
+
+THIN = "cnt AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1), med AS (SELECT median(n) * 0.5 AS h FROM cnt)"
+
+
+@register(f"WITH {THIN} SELECT CAST(date AS VARCHAR) AS date, n FROM cnt WHERE date <= (SELECT max(date) FROM cnt, med WHERE n >= h)")
+def trim_trailing(spark, d):
+    from crosstide.plans import ingest
+
+    rows = demo.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_orderkey").alias("symbol"))
+    kept = rows.join(ingest.thin_tail(rows), "date", "left_anti")
+    return kept.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS session, CAST(date AS VARCHAR) AS date, CAST((month(date) = 11 AND dayofweek(date) = 5 AND day(date) BETWEEN 23 AND 29) OR (month(date) = 12 AND day(date) = 24) OR (month(date) = 7 AND day(date) = 3) AS INTEGER) AS is_half_day, n AS n_securities FROM (SELECT CAST(l_shipdate AS DATE) AS date, CAST(count(*) AS INTEGER) AS n FROM lineitem GROUP BY 1)")
+def calendar_sessions(spark, d):
+    from crosstide.plans import ingest
+
+    bars = demo.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_orderkey").alias("symbol"), F.col("l_quantity").cast("long").alias("raw_volume"))
+    return ingest.calendar(bars).select("session", F.col("date").cast("string").alias("date"), "is_half_day", "n_securities")
+
+
+@register("SELECT event_id, CAST(CAST(make_timestamp(epoch_us(ts)) - CASE WHEN ts >= TIMESTAMP '2024-03-10 07:00:00' AND ts < TIMESTAMP '2024-11-03 06:00:00' THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS DATE) AS VARCHAR) AS ny_date, CAST(CAST(ts AS DATE) AS VARCHAR) AS utc_date FROM events")
+def epoch_to_ny_date(spark, d):
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    events = demo.table(spark, d, "events").select("event_id", seconds.alias("epoch"))
+    return events.select("event_id", s.market_date("epoch").cast("string").alias("ny_date"), s.utc_date("epoch").cast("string").alias("utc_date"))
+
+
+@register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_parse(spark, d):
+    return demo.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@register("SELECT p_partkey, levenshtein(p_name, 'small ring') AS distance FROM part")
+def levenshtein_suggest(spark, d):
+    return demo.table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("small ring")).alias("distance"))
+
+
+@register("SELECT p_partkey, translate(p_name || '|' || p_type || chr(10), '|' || chr(13) || chr(10), '   ') AS field, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS cik, printf('%.6f', p_retailprice) AS price, p_partkey || '|' || p_name || '|' || p_size AS line FROM part")
+def clean_fields(spark, d):
+    from crosstide.sources.pipe import pipe_lines
+
+    part = demo.table(spark, d, "part")
+    text = F.concat("p_name", F.lit("|"), "p_type", F.lit("\n"))
+    lines = pipe_lines(part.select("p_partkey", "p_name", "p_size"), ["p_partkey", "p_name", "p_size"]).withColumn("p_partkey", F.split("line", "[|]")[0].cast("long"))
+    return part.select("p_partkey", s.clean_field(text).alias("field"), s.padded_cik("p_partkey").alias("cik"), s.price_text("p_retailprice").alias("price")).join(lines, "p_partkey")
+
+
+@register("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand")
+def distribution(spark, d):
+    from crosstide.plans import ingest
+
+    return ingest.distribution(demo.table(spark, d, "part"), "p_brand")
+
+
+@register("SELECT p_name AS key, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def key_collisions(spark, d):
+    return evt.colliding_keys(demo.table(spark, d, "part"), "p_name")
+
+
+@register("SELECT n_name, CAST(CASE n_name WHEN 'none' THEN 1 END AS TINYINT) AS code, CAST(len(n_name) AS INTEGER) AS size FROM nation")
+def sector_codes(spark, d):
+    n = demo.table(spark, d, "nation")
+    return n.select("n_name", s.sector_code("n_name").alias("code"), F.length("n_name").alias("size"))
