@@ -304,9 +304,6 @@ def ledger_capped_fold(spark, d):
     return daily.select(F.col("di").cast("int").alias("di"), *[r(c, 2).alias(c) for c in GENERAL])
 
 
-DELISTED = LEDGER.replace("prev * coalesce(ret, 0)", "prev * coalesce(ret, 0)")
-
-
 @register(q(LEDGER, f"SELECT count(*) AS n_days, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)', 'sharpe')}, {rs('avg(ret) * 252', 'ann_return')}, {rs('avg(trade_dollar) / 1e6', 'turnover')}, {rs('sum(pnl) / nullif(sum(trade_dollar), 0) * 1e4', 'margin_bps')}, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) * sqrt(abs(avg(ret) * 252) / greatest(avg(trade_dollar) / 1e6, 0.125))', 'fitness')}, {rs('avg((pnl > 0)::INT)', 'hit_rate')}, {rs('sum(cost)', 'cost_total', 2)}, {rs('avg(long_count)', 'avg_long_count')} FROM daily"))
 def metrics_scalar(spark, d):
     out = m.scalars(demo.sp_daily(spark, d), demo.BOOK)
@@ -319,7 +316,7 @@ def metrics_grouping_sets(spark, d):
     return out.select("period", "days", r("sharpe").alias("sharpe"), r("pnl", 2).alias("pnl"), r("turnover").alias("turnover"), r("long_share").alias("long_share"))
 
 
-@register(q(LEDGER + ", cum AS (SELECT di, sum(pnl) OVER (ORDER BY di) AS c FROM daily), pk AS (SELECT di, c, greatest(max(c) OVER (ORDER BY di), 0) AS p FROM cum), tr AS (SELECT min(c - p) AS dd FROM pk), at AS (SELECT min(di) AS t FROM pk, tr WHERE c - p = dd)", f"SELECT {rs('-(SELECT dd FROM tr)', 'max_drawdown', 2)}, (SELECT min(di) FROM pk WHERE di <= (SELECT t FROM at) AND c = (SELECT max(c) FROM pk WHERE di <= (SELECT t FROM at))) AS from_di, (SELECT t FROM at) AS to_di"))
+@register(q(LEDGER + ", cum AS (SELECT di, sum(pnl) OVER (ORDER BY di) AS c FROM daily), pk AS (SELECT di, c, greatest(max(c) OVER (ORDER BY di), 0) AS p FROM cum), tr AS (SELECT min(c - p) AS dd FROM pk), tt AS (SELECT min(di) AS t FROM pk, tr WHERE c - p = dd)", f"SELECT {rs('-(SELECT dd FROM tr)', 'max_drawdown', 2)}, (SELECT min(di) FROM pk WHERE di <= (SELECT t FROM tt) AND c = (SELECT max(c) FROM pk WHERE di <= (SELECT t FROM tt))) AS from_di, (SELECT t FROM tt) AS to_di"))
 def drawdown(spark, d):
     return m.drawdown(demo.sp_daily(spark, d)).select(r("max_drawdown", 2).alias("max_drawdown"), F.col("from_di").cast("int").alias("from_di"), F.col("to_di").cast("int").alias("to_di"))
 
@@ -356,6 +353,82 @@ def market_return(spark, d):
     return demo.sp_grid(spark, d).groupBy(F.col("di").cast("int").alias("di")).agg(r(F.avg("ret")).alias("market_ret"))
 
 
+@register()
+def quality_gates(spark, d):
+    """The seven gates of the general ledger: name, state and note."""
+    from crosstide.operators import gates
+
+    result = _general(spark, d, halt_proxy=2, ghost_tolerance=1.0)
+    return spark.createDataFrame([(g["gate"], g["state"], g["note"]) for g in gates.evaluate(result)["gates"]], "gate string, state string, note string")
+
+
+# ------------------------------------------------------------------ stores and streams
+@register(q(EV, f"SELECT di, ii, {rs('CASE WHEN di BETWEEN 10 AND 12 THEN 2 * x ELSE x END', 'value')} FROM ev"))
+def store_upsert(spark, d):
+    """ev written to a store, three sessions written again with doubled values, read back."""
+    store, e = _store(spark, d)
+    rows = e.select("di", F.col("ii").cast("int").alias("ii"), F.col("x").alias("value"))
+    ref = "g_demo.field_demo_ev.x"
+    store.write(ref, rows, dtype="f8")
+    store.write(ref, rows.where(F.col("di").between(10, 12)).withColumn("value", F.col("value") * 2), dtype="f8")
+    return _cells(store.read(ref), "value")
+
+
+def _store(spark, d):
+    from crosstide.sources import files
+    from crosstide.sources.panels import Store
+
+    e = demo.ev(spark, d)
+    store = Store(spark, files.scratch(spark, "store"))
+    last = e.agg(F.max("di")).first()[0]
+    days = [str(x[0]) for x in spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.date_add(F.lit("2024-01-01").cast("date"), last)))).collect()]  # the axis
+    store.create_axes(days, [x["ii"] for x in e.select("ii").distinct().orderBy("ii").collect()])  # the axis
+    return store, e
+
+
+@register(q(EV, f"SELECT di, ii, {rs('x', 'x')}, n FROM ev"))
+def psv_roundtrip(spark, d):
+    """ev as pipe files and back through the strict reader."""
+    from crosstide.sources import files, pipe
+
+    path = files.scratch(spark, "psv")
+    pipe.write_pipe(demo.ev(spark, d).select("di", "ii", F.format_string("%.10f", "x").alias("x"), "n"), path)
+    return pipe.read_pipe(spark, path, "di int, ii bigint, x double, n bigint").select("di", "ii", r("x").alias("x"), "n")
+
+
+@register("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, user_id AS ii, (round(sum(value), 6) + 0.0) AS x FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2")
+def stream_daily_upsert(spark, d):
+    """events as a stream of files to a panel, days that the watermark has passed."""
+    from crosstide.sources import files
+    from crosstide.sources.panels import Store
+    from crosstide.streaming import daily
+
+    root = files.scratch(spark, "stream")
+    table = demo.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    store = Store(spark, f"{root}/store")
+    store.create_axes([], [])
+    stream = spark.readStream.schema(demo.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    assert stream.schema == table.schema
+    daily.upsert_daily(daily.daily_totals(stream), store, "g_demo.field_demo_stream.x", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = store.read("g_demo.field_demo_stream.x").join(store.axes.session_table(), "di")
+    return out.select(F.col("date").cast("string").alias("date"), F.col("ii").cast("long").alias("ii"), r("value").alias("x"))
+
+
+@register(q(EVG, f"SELECT a.di, a.ii, {rs('sum(b.x * pow(0.5, (a.di - b.di) / 3.0)) / nullif(sum(CASE WHEN b.x IS NOT NULL THEN pow(0.5, (a.di - b.di) / 3.0) END), 0)', 'y')} FROM evg a JOIN evg b ON b.ii = a.ii AND b.di <= a.di WHERE a.x IS NOT NULL GROUP BY a.di, a.ii"))
+def stream_exp_decay(spark, d):
+    """ev's sessions as a stream; the decay's two sums are kept per name between batches."""
+    from crosstide.sources import files
+    from crosstide.streaming import daily
+
+    root = files.scratch(spark, "decay")
+    # One file per ten sessions, in their order: a batch reads one file.
+    for k, (a, b) in enumerate([(0, 9), (10, 19), (20, 1 << 20)]):
+        demo.ev(spark, d).where(F.col("di").between(a, b)).select("di", "ii", "x").coalesce(1).write.mode("append").parquet(f"{root}/in/part={k}")
+    batches = spark.readStream.schema("di int, ii bigint, x double").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+    daily.streaming_exp_decay(batches, 3).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").format("parquet").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    return _cells(spark.read.parquet(f"{root}/out"), "y")
+
+
 # ------------------------------------------------------------------ events and reference data
 @register(f"WITH {S_LINES}, {B_LINES} SELECT s.event, {rs('(SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date)', 'before')}, {rs('(SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date)', 'after')} FROM splits s")
 def asof_prev_next(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -48,3 +51,26 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _at(spark, path)
     fs.delete(target, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a local session without that setting gets a folder of its own; on a
+    cluster without it there is no safe place, and that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='crosstide-')}")
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/crosstide/{label}-{uuid.uuid4().hex}"
