@@ -1,17 +1,19 @@
-"""Near-duplicate groups by SetSketch registers, banding and exact verification.
+"""Near-duplicate groups by SetSketch registers, banding, likelihood and exact verification.
 
 1. Each text's shingle set gives its size, a digest and SetSketch registers:
    truncated exponents of minima of exponentially distributed hashes, so that
    registers of a union are the maxima of registers.
 2. Texts with equal sets are one class from here on.
-3. Bands of registers make buckets. Within a bucket, all members are compared
-   with one centre, which is linear in the bucket. Candidate pairs pass if the
-   joint likelihood of their registers allows the similarity, and are then
-   verified on their full sets.
-4. Links merge classes into components. Buckets that still hold several
-   components are compared with further centres while they are many, and at
-   last all their pairs across components are compared: no candidate is left
-   out, and none is compared that cannot change a component.
+3. Bands of registers make buckets. In each bucket, all members are judged
+   against one centre by the joint likelihood of their registers, which is linear
+   in the bucket. Members close to the centre join its family; members so close
+   that all their links must be close to it too are settled and leave the
+   bucket; the rest get another centre. Few remain after some rounds, and those
+   are judged in pairs.
+4. Families are compared block against block, each block bounded by the shingles
+   it holds: pairs that the likelihood allows are verified on their full sets
+   unless they are in one component already, and the links that merge components
+   are returned, never all pairs.
 """
 
 from __future__ import annotations
@@ -34,10 +36,13 @@ REGISTERS = 144
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Chance at most that a pair just at the threshold meets in no band.
 MISS = 2e-5
-#: A candidate is verified unless its likeliest similarity is so far below the threshold: over six standard errors.
-SLACK = 0.2
-#: Pairs across components, for each class, from which further centres are tried before all are compared.
-MANY, ROUNDS = 2, 6
+#: Likeliest similarities below the threshold: of candidates that are verified (four standard errors), of
+#: members that are settled by a centre, and the error allowed for (two standard errors) of close ones.
+SLACK, SETTLED, ERROR = 0.12, 0.10, 0.08
+#: Centres of a bucket that are tried before its remaining members are judged in pairs.
+ROUNDS = 8
+#: Shingles of a block.
+BLOCK_SHINGLES = 400_000
 
 _XOR, _ODD = sequence(REGISTERS, 2), sequence(REGISTERS, 3) | np.uint64(1)
 
@@ -109,8 +114,8 @@ def sketches(documents: DataFrame, words: int, rows: int, id_col: str = "doc_id"
     return chosen.mapInArrow(run, "id bigint, n bigint, digest binary, registers binary, bands array<bigint>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (x, y) whose registers allow a similarity of least."""
+def _judged(pairs: DataFrame, reps: DataFrame, close: float, settled: float) -> DataFrame:
+    """(x, y, settled) of the pairs whose registers make them close."""
     side = lambda name: reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("registers").alias(f"r_{name}"))
     rows = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "n_x", "n_y", "r_x", "r_y")
 
@@ -120,29 +125,111 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (4, 5))
             n_a, n_b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-            keep = pa.array(likeliest_similarity(a, b, n_a, n_b) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["x", "y"])
+            like = likeliest_similarity(a, b, n_a, n_b)
+            keep = pa.array(like >= close)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(like >= settled).filter(keep)], ["x", "y", "settled"])
+
+    return rows.mapInArrow(run, "x bigint, y bigint, settled boolean").groupBy("x", "y").agg(F.max("settled").alias("settled"))
+
+
+def _families(reps: DataFrame, threshold: float) -> DataFrame:
+    """(id, label) of classes that are close to others by way of centres."""
+    settled = threshold - SETTLED
+    close = settled - (1 - threshold) - ERROR
+    count = F.count(F.lit(1)).alias("k")
+    places = reps.select("id", F.explode("bands").alias("key"))
+    centres = written(places.groupBy("key").agg(F.min("id").alias("y"), F.max("id").alias("z"), count).where("y < z"), "centres")
+    left = written(places.join(centres.select("key"), "key"), "places")
+    edges = None
+    for turn in range(ROUNDS + 1):
+        if turn == ROUNDS:
+            other = left.select("key", F.col("id").alias("y"))
+            pairs = left.withColumnRenamed("id", "x").join(other, "key").where("x > y").select("x", "y").distinct()
+        else:
+            pairs = left.join(centres.select("key", "y"), "key").where("id <> y").select(F.col("id").alias("x"), "y").distinct()
+        judged = written(_judged(pairs, reps, close, settled), "judged")
+        edges = judged.select("x", "y") if edges is None else edges.unionByName(judged.select("x", "y"))
+        if turn == ROUNDS:
+            break
+        # Of a bucket of two nothing is left to compare.
+        rest = left.join(centres.where("k > 2").select("key", "y"), "key").where("id <> y")
+        rest = rest.join(judged.where("settled").select(F.col("x").alias("id"), "y"), ["id", "y"], "left_anti").select("key", "id")
+        sizes = rest.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("y"), F.min("id").alias("a"), F.max("id").alias("z"), count).where("a < z")
+        centres = written(sizes.select("key", "y", "k"), "centres")
+        if centres.isEmpty():
+            break
+        left = written(rest.join(centres.select("key"), "key"), "places")
+    return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
-    return rows.mapInArrow(run, "x bigint, y bigint").distinct()
 
+class _Union(dict):
+    def find(self, x: int) -> int:
+        while self.setdefault(x, x) != x:
+            self[x] = self[self[x]]
+            x = self[x]
+        return x
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) with share[1] * intersection >= share[0] * union on full sets."""
-    rows = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("t_x")), "x").join(texts.select(F.col("id").alias("y"), F.col("text").alias("t_y")), "y").select("x", "y", "t_x", "t_y")
+
+def _block_links(ids: list[int], blocks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], same_block: bool) -> list[tuple[int, int]]:
+    """Links that merge the members of a block, or of two blocks, likeliest pairs first."""
+    threshold = share[0] / share[1]
+    sizes = np.array([len(s) for s in sets], float)
+    found: list[tuple[float, int, int]] = []
+    first = np.arange(len(ids)) if same_block else np.flatnonzero(blocks == blocks.min())
+    second = first if same_block else np.flatnonzero(blocks != blocks.min())
+    for at, a in enumerate(first):
+        others = second[at + 1 :] if same_block else second
+        others = others[share[1] * np.minimum(sizes[others], sizes[a]) >= share[0] * np.maximum(sizes[others], sizes[a])]
+        equal = (sketch[others] == sketch[a]).mean(axis=1)
+        others = others[equal >= threshold - SLACK - ERROR]
+        if len(others):
+            like = likeliest_similarity(np.broadcast_to(sketch[a], (len(others), REGISTERS)), sketch[others], np.full(len(others), sizes[a]), sizes[others])
+            found += [(-x, a, b) for x, b in zip(like.tolist(), others.tolist()) if x >= threshold - SLACK]
+    out, union = [], _Union()
+    for _, a, b in sorted(found):
+        ra, rb = union.find(ids[a]), union.find(ids[b])
+        if ra == rb:
+            continue
+        small, big = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
+        both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
+        if share[1] * both >= share[0] * (len(small) + len(big) - both):
+            union[ra] = rb
+            out.append((ids[a], ids[b]))
+    return out
+
+
+def _links(families: DataFrame, reps: DataFrame, texts: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b): verified links that join each family's components."""
+    members = families.join(reps.select("id", "n", "registers"), "id")
+    blocks = members.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(texts, "id")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))
+    rows = placed.withColumn("m", F.explode(meets)).select("label", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "id", "registers", "text")
+    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def done() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            ids, blocks, sketch, sets = zip(*held)
+            return _block_links(list(ids), np.array(blocks), np.stack(sketch), list(sets), share, key[1] == key[2])
+
         for batch in batches:
-            x, y, t_x, t_y = (c.to_pylist() for c in batch.columns)
-            distinct = list({*t_x, *t_y})
-            sets = dict(zip(distinct, shingle_sets(distinct, words)))
-            keep = []
-            for a, b in zip(t_x, t_y):
-                a, b = sets[a], sets[b]
-                small, big = (a, b) if len(a) < len(b) else (b, a)
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                both = int((big[at] == small).sum()) if len(small) else 0
-                keep.append(both > 0 and share[1] * both >= share[0] * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, k in zip(x, keep) if k], pa.int64()), pa.array([i for i, k in zip(y, keep) if k], pa.int64())], ["a", "b"])
+            labels, i, j, block, ids, sketch, text = (c.to_pylist() for c in batch.columns)
+            sets = shingle_sets(text, words)
+            out: list[tuple[int, int]] = []
+            for k, own in enumerate(zip(labels, i, j)):
+                if own != key:
+                    out += done()
+                    held, key = [], own
+                held.append((ids[k], block[k], np.frombuffer(sketch[k], np.uint16), sets[k]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        if out := done():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -156,7 +243,6 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
     nothing. Equal rows each stay a row; rows of one id with different texts
     count as one document with all their links. A null id keeps null.
     """
-    spark = documents.sparkSession
     threshold = share[0] / share[1]
     rows = rows_per_band(threshold)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -165,42 +251,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
     members = written(table.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "members")
     firsts = members.where("id = rep").select("id").distinct()
     reps = written(table.where("digest is not null").join(firsts, "id").dropDuplicates(["id", "digest"]).select("id", "n", "registers", "bands"), "classes")
-    texts = docs.where("text is not null")
-    places = reps.select("id", "n", F.explode("bands").alias("key"))
-    full = written(places.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "buckets")
-    placed = written(places.join(full.select("key"), "key"), "places")
     # A document whose rows have different texts belongs to several classes, which it links.
     several = members.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("id", "a")
-    links = written(members.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "links")
-
-    def settled(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        likely = written(_likely(pairs, reps, threshold - SLACK), "likely")
-        return found.unionByName(written(_verified(likely, texts, words, share), "links"))
-
-    close = lambda a, b: share[1] * F.least(a, b) >= share[0] * F.greatest(a, b)  # noqa: E731  else the sizes alone forbid it
-    first = placed.join(full.select("key", F.col("least").alias("y")), "key").where("id <> y").select(F.col("id").alias("x"), "y").distinct()
-    links = settled(first, links)
-    for turn in range(ROUNDS + 1):
-        labels = components(links)
-        labelled = placed.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_rows = written(labelled.join(mixed, "key"), "open")
-        counts = open_rows.groupBy("key", "label").agg(F.count("id").alias("k")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        across = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if not across:
-            break
-        if across <= MANY * reps.count() + 10_000 or turn == ROUNDS:
-            # A pair across components has a member outside the commonest one of its bucket.
-            common = open_rows.groupBy("key", "label").agg(F.count("id").alias("k")).groupBy("key").agg(F.max_by("label", "k").alias("common"))
-            one = open_rows.join(common, "key").where("label <> common").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("label").alias("l_x"))
-            other = open_rows.select("key", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("label").alias("l_y"))
-            rest = one.join(other, "key").where(F.col("l_x") != F.col("l_y")).where(close(F.col("n_x"), F.col("n_y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-            links = settled(rest, links)
-            labels = components(links)
-            break
-        centre = open_rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(turn))).alias("c"))
-        more = open_rows.join(centre, "key").where(F.col("label") != F.col("c.label")).where(close(F.col("n"), F.col("c.n"))).select(F.col("id").alias("x"), F.col("c.id").alias("y")).distinct()
-        links = settled(more, links)
+    joined = members.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    families = _families(reps, threshold)
+    labels = components(_links(families, reps, docs.where("text is not null"), words, share).unionByName(joined))
     out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("label", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
