@@ -86,8 +86,13 @@ def scale(df: DataFrame, x: str, pool: str | None = None, out: str | None = None
 
 
 def top_members(df: DataFrame, x: str, n: int, out: str = "in_pool", by: tuple[str, ...] = DAY) -> DataFrame:
-    """Membership of the n largest values of the session by average rank; missing values are outside."""
-    return df.withColumn(out, F.coalesce(average_rank(x, descending=True, by=by) <= n, F.lit(False)))
+    """Membership of the n largest values of the session by average rank; missing values are outside.
+
+    The count over the session, true wherever a rank is, comes first in the plan: the
+    finer windows of the rank then reuse its exchange, one in place of two.
+    """
+    seen = F.count(col(x)).over(_day(by)) > 0
+    return df.withColumn(out, F.coalesce(seen & (average_rank(x, descending=True, by=by) <= n), F.lit(False)))
 
 
 def member(value: Column | str) -> Column:
