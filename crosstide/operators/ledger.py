@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import nan_to_null, safe_div
 from crosstide.operators import time_series as ts
+from crosstide.sources.files import written
 
 BPS = 1e-4
+#: Cells of a strategy that one task holds; longer histories run in chunks of sessions.
+CELLS_AT_ONCE = 4_000_000
 KEYS = ["strategy", "di", "ii"]
 #: Columns of the daily roll-up, in order.
 DAILY_COLUMNS = [
@@ -166,7 +169,9 @@ def simulate(
     (di, ii, halted) and universe (di, ii, in_pool) are panels; delist (ii,
     delist_date) needs sessions (di, date). securities (ii) is the axis, by default
     the names of the weights. A missing weight is 0, a missing limit is none, a
-    missing cost is an error. NaN counts as missing everywhere.
+    missing cost is an error. NaN counts as missing everywhere. chunk_sessions sets
+    the sessions that are folded at once; by default they follow CELLS_AT_ONCE. keep
+    writes the cells to the shared folder, so that they are folded once.
     """
     booksize = float(booksize)
     if not np.isfinite(booksize) or booksize <= 0:
@@ -236,9 +241,11 @@ def simulate(
         dense = dense.withColumn("in_pool", F.lit(True))
     else:
         dense = dense.join(_keyed(universe, "in_pool", "boolean"), ["di", "ii"], "left").fillna({"in_pool": False})
+    if chunk_sessions is None and (names := axis.count()) * (last - first + 1) > CELLS_AT_ONCE:
+        chunk_sessions = max(20, CELLS_AT_ONCE // names)
     cells = _folded(dense, booksize, detection != "disabled", first, last, chunk_sessions)
-    if keep:
-        cells = cells.persist()
+    if keep and (not chunk_sessions or last - first < chunk_sessions):
+        cells = written(cells, "cells")
     daily = _daily(cells, booksize, universe is not None)
     count = lambda c: F.sum(c.cast("long"))
     ghosts = F.col("ghost")
@@ -273,7 +280,7 @@ def _folded(dense: DataFrame, booksize: float, detect: bool, first: int, last: i
         part = start.where(F.col("di").between(a, a + chunk - 1))
         if state is not None:
             part = part.drop("pos0", "frozen0", "seen0").join(state, ["strategy", "ii"], "left").fillna({"pos0": 0.0, "frozen0": False, "seen0": False}).select(*KEYS, *_INPUT)
-        done.append(run(part).persist())
+        done.append(written(run(part), "cells"))
         ends = done[-1].join(done[-1].groupBy("strategy").agg(F.max("di").alias("di")), ["strategy", "di"])
         state = ends.select("strategy", "ii", F.col("pos").alias("pos0"), F.col("frozen").alias("frozen0"), F.col("due").alias("seen0"))
     out = done[0]

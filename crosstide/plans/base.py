@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crosstide.operators import cross_section as cs
 from crosstide.operators import time_series as ts
-from crosstide.sources import pipe
+from crosstide.sources import files, pipe
 from crosstide.sources.panels import Store
 
 #: Names of the base panels.
@@ -42,7 +42,7 @@ def build_base(spark: SparkSession, tables: str, store: Store, top: int = 400, a
     days = F.broadcast(store.axes.session_table())
     keyed = lambda df: df.withColumnRenamed("security_id", "ii").join(days, "date")
     bars, sectors = keyed(pipe.read_daily(spark, tables, "pv")), keyed(pipe.read_daily(spark, tables, "industry")).withColumnRenamed("gics_sector_code", "sector")
-    frame = base_frame(bars, sectors, store.axes.grid(), top).persist()
+    frame = files.written(base_frame(bars, sectors, store.axes.grid(), top), "base")
     span = (0, store.axes.n_sessions - 1)
     fingerprint = "sha256:" + hashlib.sha256(Path(__file__).read_bytes() + asof.encode()).hexdigest()[:16]
     jobs = [(PRICE, "adj_close", "f4"), (VOLUME, "volume", "f4"), (RETURN, "ret_1d", "f4"), (ADV, "adv_dollar", "f4"), (SECTOR, "sector", "i1"), (POOL.format(n=top), "in_pool", "bool")]
@@ -50,5 +50,4 @@ def build_base(spark: SparkSession, tables: str, store: Store, top: int = 400, a
     for ref, column, dtype in jobs:
         store.write(ref, frame.select("di", "ii", F.col(column).alias("value")), dtype=dtype, sessions=span, rebuild=True, fingerprint=fingerprint, meta=meta)
     store.write(MARKET, market_return(frame), dims=("di",), sessions=span, rebuild=True, fingerprint=fingerprint, meta=meta)
-    frame.unpersist()
     return [*(j[0] for j in jobs), MARKET]

@@ -282,7 +282,7 @@ def ledger_nav_identity(spark, d):
 
 def _general(spark, d, **options):
     book = demo.sp_book(spark, d)
-    return ledger.simulate(book.select("di", F.col("ii").cast("int").alias("ii"), "w"), book.select("di", F.col("ii").cast("int").alias("ii"), "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), keep=False, **options)
+    return ledger.simulate(book.select("di", F.col("ii").cast("int").alias("ii"), "w"), book.select("di", F.col("ii").cast("int").alias("ii"), "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), **options)
 
 
 GENERAL = [c for c in ledger.DAILY_COLUMNS if c not in ("oop_weight",)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_scratch: list[tuple[SparkSession, str]] = []
 
 
 def _at(spark: SparkSession, path: str):
@@ -74,3 +77,25 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/crosstide/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, deleted when the interpreter ends.
+
+    It is computed once, and a lost executor costs no more than reading it again.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    _scratch.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _scratch:
+        try:
+            if not spark.sparkContext._jsc.sc().isStopped():
+                delete(spark, path)
+        except Exception:  # the JVM may already be gone
+            return
