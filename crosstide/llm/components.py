@@ -11,24 +11,29 @@ from crosstide.llm._common import written
 def components(links: DataFrame) -> DataFrame:
     """links(a, b: long) -> (id, label): for each id in a link, the smallest id that it reaches.
 
-    Each round gives an id, and the id that is its label, the smallest label
-    among its neighbours, and then follows labels one step; the distance that
-    labels cover doubles, so rounds grow with the logarithm of the longest
-    chain. Each round is a written table. Joins with an id that has very many
-    links are aggregated before they shuffle and can be split while they run.
-    An empty link table gives an empty result; self links and null ids count
-    for nothing.
+    Rounds contract the graph: every id points at its smallest neighbour, if that
+    is smaller; pointers are followed four steps; links then join what their ends
+    point at, and those within one id vanish. At least half of the ids that are
+    not alone vanish too, so rounds grow with the logarithm of their number, and
+    the links shrink with every round. Each round is a written table. An empty
+    link table gives an empty result; self links and null ids count for nothing.
     """
-    both = links.select("a", "b").where("a is not null and b is not null and a <> b")
-    edges = written(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = written(ordered(links.select("a", "b").dropna()), "edges")
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        seen = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "label", F.least("label", "m").alias("m"))
-        offers = seen.select("id", F.explode(F.array("id", "label")).alias("to"), "m").groupBy("to").agg(F.min("m").alias("m"))
-        hooked = labels.join(offers.withColumnRenamed("to", "id"), "id").select("id", F.col("label").alias("old"), "m")
-        step = hooked.join(hooked.select(F.col("id").alias("via"), F.col("m").alias("far")), F.col("m") == F.col("via")).select("id", "old", F.least("m", "far").alias("label"))
-        done = written(step, "labels")
-        labels = done.select("id", "label")
-        if done.where("old <> label").isEmpty():
+        near = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
+        points = near.select(F.col("a").alias("id"), F.least("a", "m").alias("to"))
+        for _ in range(2):
+            points = points.join(points.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+        points = written(points, "points")
+        if labels is None:
+            labels = written(points.select("id", F.col("to").alias("label")), "labels")
+        else:
+            moved = labels.join(points.select(F.col("id").alias("label"), "to"), "label", "left")
+            labels = written(moved.select("id", F.coalesce("to", "label").alias("label")), "labels")
+        for end in ("a", "b"):
+            edges = edges.join(points.select(F.col("id").alias(end), "to"), end).drop(end).withColumnRenamed("to", end)
+        edges = written(ordered(edges), "edges")
+        if edges.isEmpty():
             return labels
