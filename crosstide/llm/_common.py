@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crosstide.sources import files
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -16,32 +16,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a local session without that setting gets a folder of its own; on a
-    cluster without it there is no safe place, and that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="crosstide-")
-    context.setCheckpointDir(f"file://{folder}")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/crosstide/{label}-{uuid.uuid4().hex}"
+    path = files.scratch(spark, label)
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def mark() -> int:
+    """A point in the sequence of written tables, for discard_since."""
+    return len(_written)
+
+
+def discard_since(point: int, *kept: DataFrame) -> None:
+    """Delete the tables written since the point but those kept: nothing that is still lazy may read the others."""
+    paths = {getattr(df, "_written_at", None) for df in kept}
+    for spark, path in _written[point:]:
+        if path not in paths:
+            discard(spark, path)
+    _written[point:] = [(spark, path) for spark, path in _written[point:] if path in paths]
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm._common import written
+from crosstide.llm._common import discard_since, mark, written
 from crosstide.llm.components import components
 from crosstide.llm.shingles import mix
 
@@ -186,6 +186,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
     repeat an id with the same vector count once as a document and stay rows;
     rows of one id with different vectors share the links of the first class.
     """
+    start = mark()
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     hashed = written(_hashed(rows.where("id is not null")), "vectors")
     members = hashed.select("id", "unit").distinct().withColumn("digest", F.sha2("unit", 256)).select("id", "digest")
@@ -215,6 +216,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
     links = links.unionByName(written(_verified(rest, reps, threshold), "links"))
     labels = components(links)
     counts = written(_link_counts(reps, labels, threshold), "counts")
+    discard_since(start, hashed, member, labels, counts)
     known = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(firsts, "rep", "left")
     known = known.select("id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("id").join(known, "id", "left")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm._common import small_batches, written
+from crosstide.llm._common import discard_since, mark, small_batches, written
 from crosstide.llm.components import components
 from crosstide.llm.shingles import mix, sequence, shingle_sets
 
@@ -243,7 +243,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
     nothing. Equal rows each stay a row; rows of one id with different texts
     count as one document with all their links. A null id keeps null.
     """
-    threshold = share[0] / share[1]
+    threshold, start = share[0] / share[1], mark()
     rows = rows_per_band(threshold)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(sketches(docs, words, rows, "id"), "sketches")
@@ -256,6 +256,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
     joined = members.join(several, "id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     families = _families(reps, threshold)
     labels = components(_links(families, reps, docs.where("text is not null"), words, share).unionByName(joined))
+    discard_since(start, members, labels)
     out = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("label", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
