@@ -32,7 +32,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.fingerprint_and_edit(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_and_edit(table(spark, sf_dir, "documents"), query_every=50)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

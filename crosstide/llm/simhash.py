@@ -19,12 +19,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosstide.llm._common import written
+
 WORD = 64
 WORDS = 2
 BITS = WORD * WORDS
 CHUNK_TERMS = 16_000
 MAX_RANGES = 4096
 ROWS_IN_RANGE = 512
+#: Of the search: bits that may differ, and blocks, of which all but that many must agree.
+RADIUS, BLOCKS = 3, 6
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _LANES16 = 0x0001000100010001
 _LANES32 = 0x0000FFFF0000FFFF
@@ -94,9 +98,12 @@ def _ranges(df: DataFrame, id_col: str) -> list[int]:
     return sorted({*marks, top})
 
 
-def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_every: int | None = None) -> DataFrame:
     """One row per row of documents: the fingerprints of its text and of its edited text.
 
+    With query_every, rows whose id it divides are searched for among all rows, and
+    n_near counts the other rows within the radius (NULL for rows that are no query).
+
     The edited text has the last floor(n/3) code points replaced by the first as
     many (or all) of the next document in descending id; after the last comes
     the first. The neighbour is found without a global sort in one task: ids
@@ -130,10 +137,15 @@ def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col:
     in_order = Window.partitionBy("r").orderBy("copy", "rn")
     again = again.select("*", *[F.lead(f"v0_{w}").over(in_order).alias(f"x_{w}") for w in range(WORDS)]).where(~F.col("copy"))
     own, other, following = ([F.col(f"v0_{w}") for w in range(WORDS)], [F.col(f"v1_{w}") for w in range(WORDS)], [F.col(f"x_{w}") for w in range(WORDS)])
-    return again.select(
-        F.col("doc_id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_hex(*own).alias("fingerprint"), as_hex(*other).alias("edited_fingerprint"),
+    out = again.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), *[c.alias(f"f{w}") for w, c in enumerate(own)], as_hex(*other).alias("edited_fingerprint"),
         likeness(own, other).alias("near_edited"), likeness(own, following).alias("near_next"),
     )
+    if query_every:
+        # The search reads the fingerprints several times: they are made once.
+        out = near_counts(written(out, "prints"), F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False)))
+    names = ["edited_fingerprint", "near_edited", "near_next", *["n_near"] * bool(query_every)]
+    return out.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("f0"), F.col("f1")).alias("fingerprint"), *names)
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,8 +153,8 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return fingerprint_columns(documents.select(F.col(id_col), F.col(text_col)), text_col, [id_col])
 
 
-def _block(position: int, blocks: int) -> Column:
-    """The bits of one of the blocks into which the 128 bits are cut, as a string key."""
+def _block(position: int, blocks: int) -> list[Column]:
+    """The bits of one of the blocks into which the 128 bits are cut, from one or both longs."""
     lo, hi = BITS * position // blocks, BITS * (position + 1) // blocks
     parts = []
     for w in range(WORDS):
@@ -150,17 +162,17 @@ def _block(position: int, blocks: int) -> Column:
         if a < b:
             part = F.shiftrightunsigned(f"f{w}", a)
             parts.append(part if b - a == WORD else part.bitwiseAND(F.lit((1 << (b - a)) - 1)))
-    return F.concat_ws(":", *[F.hex(p) for p in parts])
+    return parts
 
 
-def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Distinct fingerprints of prints within the radius of those of queries: (q0, q1, f0, f1, distance).
 
     The bits are cut into blocks. If at most radius bits differ, at least
     blocks - radius blocks agree, so one table per choice of that many blocks,
-    permuted to the front as the key, finds all; the distance is then checked.
-    Both sides are reduced to distinct fingerprints first: groups of copies
-    are one row, and (f0, f1) is the class id by which rows join the result.
+    permuted to the front and hashed to the key, finds all; the distance is then
+    checked. Both sides are reduced to distinct fingerprints first: groups of
+    copies are one row, and (f0, f1) is the class id by which rows join the result.
     """
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("radius must be below blocks, blocks at most 128")
@@ -168,10 +180,18 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks
 
     def tables(df: DataFrame) -> DataFrame:
         distinct = df.select("f0", "f1").dropna().distinct()
-        keys = F.array(*[F.concat_ws("|", F.lit(str(i)), *[_block(p, blocks) for p in chosen]) for i, chosen in enumerate(choices)])
+        keys = F.array(*[F.xxhash64(F.lit(i), *[part for p in chosen for part in _block(p, blocks)]) for i, chosen in enumerate(choices)])
         return distinct.select("f0", "f1", F.explode(keys).alias("key"))
 
     q = tables(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), "key")
-    met = q.join(tables(prints), "key").select("q0", "q1", "f0", "f1").distinct()
     distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
-    return met.withColumn("distance", distance).where(F.col("distance") <= radius)
+    met = q.join(tables(prints), "key").withColumn("distance", distance).where(F.col("distance") <= radius)
+    return met.select("q0", "q1", "f0", "f1", "distance").distinct()
+
+
+def near_counts(rows: DataFrame, is_query: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """rows (f0, f1, ...) with n_near: for queries, how many other rows lie within the radius; else NULL."""
+    sizes = rows.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("_m"))
+    found = within_radius(rows, rows.where(is_query), radius, blocks).join(sizes, ["f0", "f1"])
+    counts = found.groupBy("q0", "q1").agg((F.sum("_m") - 1).alias("n_near"))
+    return rows.join(counts, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1")) & is_query, "left").drop("q0", "q1")
