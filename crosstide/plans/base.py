@@ -33,11 +33,14 @@ def market_return(frame: DataFrame) -> DataFrame:
     return frame.groupBy("di").agg(F.avg("ret_1d").alias("value"))
 
 
-def build_base(spark: SparkSession, tables: str, store: Store, top: int = 400, asof: str = "") -> list[str]:
-    """Read the daily tables under a folder, extend the axes and write the seven panels anew."""
+def build_base(spark: SparkSession, tables: str, store: Store, top: int = 400, asof: str = "", securities: list[int] | None = None) -> list[str]:
+    """Read the daily tables under a folder, extend the axes and write the seven panels anew.
+
+    The securities are those of the latest sec_master file unless they are given.
+    """
     calendar = pipe.read_daily(spark, tables, "calendar").orderBy("session")
     dates = [str(r["date"]) for r in calendar.select("date").collect()]  # one value per session
-    names = [r[0] for r in pipe.read_daily(spark, tables, "sec_master", latest=True).select("security_id").distinct().orderBy("security_id").collect()]
+    names = securities or [r[0] for r in pipe.read_daily(spark, tables, "sec_master", latest=True).select("security_id").distinct().orderBy("security_id").collect()]
     store.create_axes(dates, names)
     days = F.broadcast(store.axes.session_table())
     keyed = lambda df: df.withColumnRenamed("security_id", "ii").join(days, "date")
