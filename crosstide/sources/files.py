@@ -56,6 +56,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, in place of one that is there."""
+    fs, old = _at(spark, source)
+    _, new = _at(spark, target)
+    fs.mkdirs(new.getParent())
+    if fs.exists(new):
+        fs.delete(new, False)
+    if not fs.rename(old, new):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

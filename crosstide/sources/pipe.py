@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import clean_field
+from crosstide.sources import files
 
 #: Columns of the daily tables.
 SCHEMAS = {
@@ -45,14 +46,37 @@ def pipe_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat_ws("|", *[clean_field(c) for c in columns]).alias("line"))
 
 
-def write_pipe(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """A folder of pipe files, each with the header."""
-    columns = columns or df.columns
-    cleaned = df.select(*[F.when(clean_field(c) == "", None).otherwise(clean_field(c)).alias(c) for c in columns])
-    cleaned.write.options(sep="|", header="true", nullValue="", emptyValue="", quote="", lineSep="\n").mode("overwrite").csv(path)
+def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fields as they are written: cleaned, missing ones NULL."""
+    return df.select(*[F.when(clean_field(c) != "", clean_field(c)).alias(c) for c in columns])
+
 
+_OPTIONS = {"sep": "|", "header": "true", "nullValue": "", "emptyValue": "", "quote": "", "lineSep": "\n"}
 
-def write_daily(df: DataFrame, root: str, table: str, columns: list[str]) -> None:
-    """A pipe table partitioned by year and date: one task writes each date."""
-    dated = df.select(*[F.when(clean_field(c) == "", None).otherwise(clean_field(c)).alias(c) for c in columns], F.year("date").alias("year"), F.date_format("date", "yyyyMMdd").alias("day"))
-    dated.repartition("day").sortWithinPartitions("day", *([F.col("security_id").cast("int")] if "security_id" in columns else [])).write.partitionBy("year", "day").options(sep="|", header="true", nullValue="", emptyValue="", quote="", lineSep="\n").mode("overwrite").csv(f"{root}/{table}")
+
+def write_pipe(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
+    """A folder of pipe files, each with the header."""
+    _texts(df, columns or df.columns).write.options(**_OPTIONS).mode("overwrite").csv(path)
+
+
+def write_daily(df: DataFrame, root: str, table: str, columns: list[str]) -> int:
+    """One file per date, table/YYYY/mm/table.YYYYMMDD (the calendar: table/YYYY/table.YYYY); returns the rows.
+
+    Files are written in parallel and then moved to their names: a move per date
+    changes metadata only. A date that is written again replaces its file.
+    """
+    spark = df.sparkSession
+    by_year = table == "calendar"
+    at = files.scratch(spark, f"daily-{table}")
+    ordered = df.withColumn("_part", F.date_format("date", "yyyy" if by_year else "yyyyMMdd"))
+    ordered = ordered.repartition("_part").sortWithinPartitions("_part", "session" if by_year else F.col("security_id").cast("int"))
+    fields = [F.when(clean_field(c) != "", clean_field(c)).alias(c) for c in columns]
+    ordered.select(*fields, "_part").write.partitionBy("_part").options(**_OPTIONS).csv(at)
+    for folder in (f for f in files.children(spark, at) if f.startswith("_part=")):
+        day = folder.partition("=")[2]
+        parts = [f for f in files.children(spark, f"{at}/{folder}") if f.startswith("part-")]
+        target = f"{root}/{table}/{day[:4]}/{table}.{day}" if by_year else f"{root}/{table}/{day[:4]}/{day[4:6]}/{table}.{day}"
+        files.move(spark, f"{at}/{folder}/{parts[0]}", target)
+    rows = df.count()
+    files.delete(spark, at)
+    return rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions import scalar as s
 from crosstide.operators import events as ev
-from crosstide.plans import base, ingest
+from crosstide.plans import base, build, ingest
 from crosstide.sources import pipe, vendor
 from crosstide.sources.panels import Store
 from crosstide.streaming import daily
@@ -132,6 +132,26 @@ def test_pipe_is_strict_and_base_panels(spark, tmp_path):
         pipe.read_daily(spark, str(root), "calendar").collect()
 
 
+def test_daily_tables_end_to_end(spark, tmp_path):
+    rows = [("AAA", payload("AAA", [10.0, 10.5, 10.2, 5.2, 5.3, 5.25, 5.3, 5.4, None], {3: (2, 1)}, {5: 0.05})), ("BBB", payload("BBB", [20.0, 20.2, 20.1, 20.4, 20.5, 20.6, 20.3, 20.9, 21.0], None, {8: 0.1})), ("BAD", "{"), ("CCC", payload("CCC", [7.0] * 8 + [None]))]
+    payloads = spark.createDataFrame(rows, "symbol string, payload string")
+    args = {"out": str(tmp_path / "l2"), "registry": str(tmp_path / "ids"), "sd": "2024-01-01", "ed": "2024-02-01", "asof": "2024-02-01"}
+    meta = build.build_daily_tables(spark, payloads, **args)
+    assert meta["n_sessions"] == 8 and meta["row_counts"]["pv"] == 24 and [f["symbol"] for f in meta["failed_symbols"]] == ["BAD"]
+    assert meta["trimmed_trailing_sessions"] == ["2024-01-10"] and meta["off_axis_events_dropped"] == {"2024-01-10": ["BBB"]} and meta["dropped_null_close_by_date"] == {"2024-01-10": 2}
+    assert meta["splits_vendor_had_not_applied"][0]["symbol"] == "AAA" and json.loads((tmp_path / "l2" / "_meta.json").read_text())["n_securities"] == 3
+    text = (tmp_path / "l2" / "pv" / "2024" / "01" / "pv.20240102").read_text().splitlines()
+    assert text[0].startswith("date|security_id|ticker|open") and text[1].startswith("2024-01-02|1|AAA|10.000000|") and len(text) == 4
+    pv = pipe.read_daily(spark, args["out"], "pv")
+    assert pv.count() == 24 and pv.where("security_id = 1 AND date = '2024-01-02'").first()["adj_factor"] == pytest.approx(0.5 * (1 - 0.05 / 5.3))
+    assert pipe.read_daily(spark, args["out"], "calendar").count() == 8 and pipe.read_daily(spark, args["out"], "sec_master").count() == 24
+    found = {r["rule"]: r["violations"] for r in build.accept_daily(spark, args["out"]).collect()}
+    assert {k for k, v in found.items() if v} <= {"returns differ from the vendor's by over 1 bp"}
+    again = build.build_daily_tables(spark, payloads.unionByName(spark.createDataFrame([("AA0", payload("AA0", [1.0] * 9))], payloads.schema)), **args)
+    ids = {r["ticker_yahoo"]: r["security_id"] for r in build.read_registry(spark, args["registry"]).collect()}
+    assert again["n_securities"] == 4 and ids == {"AAA": 1, "BBB": 2, "CCC": 3, "AA0": 4}
+
+
 def test_fetch_retries():
     calls, saved = [], {}
 

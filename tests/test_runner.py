@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crosstide import cli
 from crosstide.operators.spec import SpecError
 from crosstide.plans import config, evaluate, freshness, naming, node, preflight
+from crosstide.plans.build import accept_panels
 from crosstide.sources.axes import Axes
 from crosstide.sources.panels import MemoryPanels, Panels, Store, StoreError, aligned
 
@@ -111,6 +112,7 @@ def test_start_point_does_not_matter(spark, memory, repo):
     part = {(r["di"], r["ii"]): r["value"] for r in memory.read("g_me.alpha_me_x.weight", DAYS[12], DAYS[14]).collect()}
     assert len(part) == 12 and all(part[k] == pytest.approx(whole[k], abs=1e-6) for k in part)
     assert all(v == 0 for (t, s), v in whole.items() if s == 104)
+    assert accept_panels(memory, [PX, MKT, "g_me.alpha_me_x.weight"], POOL).where("violations > 0").isEmpty()
 
 
 def test_plan_against_day_by_day(spark, memory, repo):
