@@ -19,8 +19,10 @@ NO_ATTRIBUTES = "symbol string, ticker_nasdaq string, ticker_cqs string, name st
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Ids that were given out before: none if there is no file yet."""
-    return pipe.read_pipe(spark, path, REGISTRY) if files.exists(spark, path) else spark.createDataFrame([], REGISTRY)
+    """Ids that were given out before: none if there is no file yet. An empty field of the key is text, not missing."""
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], REGISTRY)
+    return pipe.read_pipe(spark, path, REGISTRY).fillna("", ["cik", "ticker_yahoo", "name"])
 
 
 def build_daily_tables(spark: SparkSession, payloads: DataFrame, out: str, registry: str, sd: str, ed: str, asof: str, attributes: DataFrame | None = None) -> dict:
