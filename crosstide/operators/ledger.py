@@ -247,6 +247,8 @@ def simulate(
     if keep and (not chunk_sessions or last - first < chunk_sessions):
         cells = written(cells, "cells")
     daily = _daily(cells, booksize, universe is not None)
+    if keep:
+        daily = written(daily.coalesce(1), "daily")  # a row per session and strategy
     count = lambda c: F.sum(c.cast("long"))
     ghosts = F.col("ghost")
     a = cells.agg(
