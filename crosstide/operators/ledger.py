@@ -152,11 +152,20 @@ def _keyed(df: DataFrame, value: str, cast: str = "double") -> DataFrame:
     return df.select(F.col("di").cast("int").alias("di"), F.col("ii").cast("int").alias("ii"), (nan_to_null(value) if cast == "double" else F.col(value).cast(cast)).alias(value))
 
 
-def _covers(weights: DataFrame, panel: DataFrame, what: str) -> None:
-    """A session without any row in a panel is an error, not a session of missing values."""
-    lacking = weights.select("di").distinct().join(panel.select("di").distinct(), "di", "left_anti")
-    if (first := lacking.agg(F.min("di"), F.count("di")).first())[1]:
-        raise SimError(f"{what} lacks {first[1]} sessions of the weights, first number {first[0]}")
+def _check_dense(dense: DataFrame) -> None:
+    """A session of the weights without any row in a panel is an error, and so are cells without a cost and names without returns."""
+    days = dense.groupBy("di").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(c) for c in ("has_w", "has_ret", "has_adv", "has_cost")], F.sum(F.col("bps").isNull().cast("long")).alias("costless"))
+    lacking = [f(F.when(F.col("has_w") & ~F.col(c), F.col("di"))).alias(f"{c}_{n}") for c in ("has_ret", "has_adv", "has_cost") for n, f in (("first", F.min), ("n", F.count))]
+    found = days.agg(*lacking, F.sum("costless").alias("costless")).first()
+    for c, what in (("has_ret", "ret"), ("has_adv", "adv_dollar"), ("has_cost", "cost_bps")):
+        if found[f"{c}_n"]:
+            raise SimError(f"{what} lacks {found[f'{c}_n']} sessions of the weights, first number {found[f'{c}_first']}")
+    if found["costless"]:
+        raise SimError("cost_bps has missing cells: fill them with 0 or a model's value")
+    names = dense.groupBy("strategy", "ii").agg(F.max(F.abs("w")).alias("g"), F.count("ret").alias("k")).where("g > 0 AND k = 0")
+    n, one = names.agg(F.count(F.lit(1)), F.min("ii")).first()
+    if n:
+        raise SimError(f"{n} securities carry weight but have no return at all, such as {one}: axes or dates do not match")
 
 
 def simulate(
@@ -187,38 +196,31 @@ def simulate(
     if "strategy" not in weights.columns:
         weights = weights.withColumn("strategy", F.lit("book"))
     own = weights.select("strategy", F.col("di").cast("int").alias("di"), F.col("ii").cast("int").alias("ii"), nan_to_null("w").alias("w"))
+    table = written if keep else lambda df, _: df
+    own = table(own, "weights")
     first, last, days, cells_n, given = own.agg(F.min("di"), F.max("di"), F.countDistinct("di"), F.count(F.lit(1)), F.count("w")).first()
     if first is None:
         raise SimError("weights are empty")
-    if own.groupBy(*KEYS).count().where("count > 1").limit(1).count():
+    if not own.groupBy(*KEYS).count().where("count > 1").isEmpty():
         raise SimError("a security has two weights on one session")
-    rets = _keyed(ret, "ret")
-    _covers(own, rets, "ret")
     axis = (securities or own).select("ii").distinct()
     span = own.groupBy("strategy").agg(F.min("di").alias("a"), F.max("di").alias("z"))
     dense = span.crossJoin(F.broadcast(axis)).select("strategy", F.explode(F.sequence("a", "z")).alias("di"), "ii")  # a few strategies by the axis
-    dense = dense.join(own, KEYS, "left").withColumn("_absent", F.col("w").isNull()).fillna({"w": 0.0}).join(rets, ["di", "ii"], "left")
-    dead = dense.groupBy("strategy", "ii").agg(F.max(F.abs("w")).alias("g"), F.count("ret").alias("k")).where("g > 0 and k = 0").agg(F.count(F.lit(1)), F.min("ii")).first()
-    if dead[0]:
-        raise SimError(f"{dead[0]} securities carry weight but have no return at all, such as {dead[1]}: axes or dates do not match")
+    dense = dense.join(own.withColumn("has_w", F.lit(True)), KEYS, "left").fillna({"w": 0.0})
+    dense = dense.join(_keyed(ret, "ret").withColumn("has_ret", F.lit(True)), ["di", "ii"], "left")
     if adv_dollar is None:
-        dense = dense.withColumn("cap", F.lit(float("inf")))
+        dense = dense.withColumns({"cap": F.lit(float("inf")), "has_adv": F.lit(True)})
     else:
-        adv = _keyed(adv_dollar, "adv")
-        _covers(own, adv, "adv_dollar")
+        adv = _keyed(adv_dollar, "adv").withColumn("has_adv", F.lit(True))
         dense = dense.join(adv, ["di", "ii"], "left").withColumn("cap", F.col("adv") * participation).drop("adv")
     if isinstance(cost_bps, DataFrame):
-        cost = _keyed(cost_bps, "cost_bps").withColumnRenamed("cost_bps", "bps")
-        _covers(own, cost, "cost_bps")
-        dense = dense.join(cost, ["di", "ii"], "left")
-        if dense.where("bps is null").limit(1).count():
-            raise SimError("cost_bps has missing cells: fill them with 0 or a model's value")
-        cost_kind, cost_mean = "panel", dense.agg(F.avg("bps")).first()[0]
+        dense = dense.join(_keyed(cost_bps, "cost_bps").withColumnRenamed("cost_bps", "bps").withColumn("has_cost", F.lit(True)), ["di", "ii"], "left")
+        cost_kind = "panel"
     else:
         if not np.isfinite(cost_bps):
             raise SimError("cost_bps is not a finite number")
-        dense = dense.withColumn("bps", F.lit(float(cost_bps)))
-        cost_kind, cost_mean = "flat", float(cost_bps)
+        dense = dense.withColumns({"bps": F.lit(float(cost_bps)), "has_cost": F.lit(True)})
+        cost_kind = "flat"
     never = F.lit(1 << 40)
     if delist is None:
         dense = dense.withColumns({"delist_ord": never, "day_ord": F.col("di").cast("long")})
@@ -241,6 +243,10 @@ def simulate(
         dense = dense.withColumn("in_pool", F.lit(True))
     else:
         dense = dense.join(_keyed(universe, "in_pool", "boolean"), ["di", "ii"], "left").fillna({"in_pool": False})
+    # From here on the inputs are a table: the checks, and each chunk, read it again.
+    dense = table(dense.select(*KEYS, *[c for c in _INPUT if c not in ("pos0", "frozen0", "seen0")], "has_w", "has_ret", "has_adv", "has_cost"), "ledger")
+    _check_dense(dense)
+    cost_mean = dense.agg(F.avg("bps")).first()[0] if cost_kind == "panel" else float(cost_bps)
     if chunk_sessions is None and (names := axis.count()) * (last - first + 1) > CELLS_AT_ONCE:
         chunk_sessions = max(20, CELLS_AT_ONCE // names)
     cells = _folded(dense, booksize, detection != "disabled", first, last, chunk_sessions)
