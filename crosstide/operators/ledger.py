@@ -11,10 +11,11 @@ path needs windows only.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from crosstide.sources.files import written
 BPS = 1e-4
 #: Cells of a strategy that one task holds; longer histories run in chunks of sessions.
 CELLS_AT_ONCE = 4_000_000
+#: Cells of an Arrow batch that the fold sends back.
+SENT_AT_ONCE = 200_000
 KEYS = ["strategy", "di", "ii"]
 #: Columns of the daily roll-up, in order.
 DAILY_COLUMNS = [
@@ -67,14 +70,9 @@ _INPUT = ["w", "ret", "cap", "bps", "halted", "delist_ord", "day_ord", "in_pool"
 _OUTPUT = "strategy string, di int, ii int, w double, prev double, hp double, adv_pos double, target double, target_free double, wanted double, delta double, cost double, settle double, pos double, pnl double, frozen boolean, ghost boolean, tradable boolean, due boolean, closed boolean, reprice double, r double, missing boolean, no_cap boolean, halted boolean, in_pool boolean, avail double, frozen_value double"
 
 
-def _fold(frame: pd.DataFrame, booksize: float, detect: bool) -> pd.DataFrame:
-    """One strategy's sessions in order. The frame is dense: every security on every session."""
-    frame = frame.sort_values(["di", "ii"], kind="stable")
-    days, names = frame["di"].unique(), frame["ii"].unique()
+def _fold(days: np.ndarray, names: np.ndarray, grid: dict[str, np.ndarray], booksize: float, detect: bool) -> dict[str, np.ndarray]:
+    """One strategy's sessions in order: arrays of sessions by securities in, the same out."""
     t_n, n = len(days), len(names)
-    if len(frame) != t_n * n:
-        raise SimError("the ledger needs every security on every session once")
-    grid = {c: frame[c].to_numpy().reshape(t_n, n) for c in _INPUT}
     weight = grid["w"].astype(float)
     raw = grid["ret"].astype(float)
     missing = np.isnan(raw)
@@ -117,10 +115,63 @@ def _fold(frame: pd.DataFrame, booksize: float, detect: bool) -> pd.DataFrame:
         for c, v in zip(flags, (frozen, ghost, closed, np.isnan(cap[t]) & (wanted != 0))):
             flags[c][t] = v
         was_frozen = frozen
-    flat = {"strategy": frame["strategy"].to_numpy(), "di": frame["di"].to_numpy(), "ii": frame["ii"].to_numpy(), "w": weight.ravel(), "target_free": free.ravel(), "r": growth.ravel(), "missing": missing.ravel(), "tradable": tradable.ravel(), "due": due.ravel(), "halted": halted.ravel(), "in_pool": pool.ravel()}
-    flat |= {c: v.ravel() for c, v in (out | flags).items()}
-    flat |= {"pnl": (out["hp"] - out["cost"]).ravel(), "avail": np.repeat(avail, n), "frozen_value": np.repeat(stuck_value, n)}
-    return pd.DataFrame(flat)[[c.split()[0] for c in _OUTPUT.split(", ")]]
+    return out | flags | {
+        "w": weight, "target_free": free, "r": growth, "missing": missing, "tradable": tradable, "due": due, "halted": halted, "in_pool": pool, "pnl": out["hp"] - out["cost"],
+        "avail": np.repeat(avail[:, None], n, axis=1), "frozen_value": np.repeat(stuck_value[:, None], n, axis=1),
+    }
+
+
+def _folder(booksize: float, detect: bool):
+    """The fold for mapInArrow: a row holds a session's cells as arrays, in order of strategy and session."""
+    names_out = [c.split()[0] for c in _OUTPUT.split(", ")][2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            strategies = batch.column(0).to_pylist()
+            at = 0
+            while at < len(strategies):
+                end = at
+                while end < len(strategies) and strategies[end] == strategies[at]:
+                    end += 1
+                if strategies[at] != key:
+                    yield from done(key, held)
+                    held, key = [], strategies[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        yield from done(key, held)
+
+    def done(key, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        days = table.column("di").to_numpy()
+        flat = {c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ["ii", *_INPUT]}
+        ii = flat.pop("ii").reshape(len(days), -1) if len(flat["ii"]) % len(days) == 0 else None
+        if ii is None or (ii != ii[0]).any():
+            raise SimError("the ledger needs every security on every session once")
+        grid = {c: v.reshape(ii.shape) for c, v in flat.items()}
+        out = _fold(days, ii[0], grid, booksize, detect) | {"ii": ii}
+        step = max(1, SENT_AT_ONCE // ii.shape[1])
+        for a in range(0, len(days), step):
+            part = days[a : a + step]
+            offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * ii.shape[1])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(out[c][a : a + step]).ravel())) for c in names_out]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.string()), pa.array(part, pa.int32()), *lists], ["strategy", "di", *names_out])
+
+    return run
+
+
+def _run_fold(start: DataFrame, booksize: float, detect: bool) -> DataFrame:
+    """Cells in, cells out. Sessions are packed to arrays and unpacked in parallel; one task folds a strategy."""
+    cells = F.sort_array(F.collect_list(F.struct("ii", *_INPUT)))
+    packed = start.groupBy("strategy", "di").agg(cells.alias("c")).select("strategy", "di", *[F.col(f"c.{x}").alias(x) for x in ["ii", *_INPUT]])
+    fields = [f.split() for f in _OUTPUT.split(", ")][2:]
+    schema = "strategy string, di int, " + ", ".join(f"{n} array<{t}>" for n, t in fields)
+    folded = packed.repartition("strategy").sortWithinPartitions("strategy", "di").mapInArrow(_folder(booksize, detect), schema)
+    rows = folded.repartition("strategy", "di").select("strategy", "di", F.explode(F.arrays_zip(*[n for n, _ in fields])).alias("c"))
+    return rows.select("strategy", "di", *[f"c.{n}" for n, _ in fields])
 
 
 def _daily(cells: DataFrame, booksize: float, with_pool: bool) -> DataFrame:
@@ -237,8 +288,7 @@ def simulate(
     elif halt_proxy == 0:
         dense, detection = dense.withColumn("halted", F.lit(False)), "disabled"
     else:
-        dense = ts.halted_by_proxy(dense, "ret", int(halt_proxy), within=F.col("day_ord") <= F.col("delist_ord"), by=("strategy", "ii"))
-        detection = f"proxy({int(halt_proxy)})"
+        dense, detection = dense.withColumn("halted", F.lit(False)), f"proxy({int(halt_proxy)})"
     if universe is None:
         dense = dense.withColumn("in_pool", F.lit(True))
     else:
@@ -246,6 +296,8 @@ def simulate(
     # From here on the inputs are a table: the checks, and each chunk, read it again.
     dense = table(dense.select(*KEYS, *[c for c in _INPUT if c not in ("pos0", "frozen0", "seen0")], "has_w", "has_ret", "has_adv", "has_cost"), "ledger")
     _check_dense(dense)
+    if detection.startswith("proxy"):
+        dense = ts.halted_by_proxy(dense.drop("halted"), "ret", int(halt_proxy), within=F.col("day_ord") <= F.col("delist_ord"), by=("strategy", "ii"))
     cost_mean = dense.agg(F.avg("bps")).first()[0] if cost_kind == "panel" else float(cost_bps)
     if chunk_sessions is None and (names := axis.count()) * (last - first + 1) > CELLS_AT_ONCE:
         chunk_sessions = max(20, CELLS_AT_ONCE // names)
@@ -279,7 +331,7 @@ def simulate(
 def _folded(dense: DataFrame, booksize: float, detect: bool, first: int, last: int, chunk: int | None) -> DataFrame:
     """The fold, whole or in chunks of sessions that hand on positions."""
     start = dense.withColumns({"pos0": F.lit(0.0), "frozen0": F.lit(False), "seen0": F.lit(False)}).select(*KEYS, *_INPUT)
-    run = lambda df: df.groupBy("strategy").applyInPandas(lambda f: _fold(f, booksize, detect), _OUTPUT)
+    run = lambda df: _run_fold(df, booksize, detect)
     if not chunk or last - first < chunk:
         return run(start)
     done: list[DataFrame] = []

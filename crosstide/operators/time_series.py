@@ -118,10 +118,19 @@ def missing_runs(df: DataFrame, x: str, within: Column | None = None, by: tuple[
 
 
 def halted_by_proxy(df: DataFrame, x: str, k: int, out: str = "halted", within: Column | None = None, by: tuple[str, ...] = NAME) -> DataFrame:
-    """Runs of at least k missing sessions count as halts, the whole run: this looks ahead by design."""
+    """Runs of at least k missing sessions count as halts, the whole run: this looks ahead by design.
+
+    Only the missing rows, mostly few, are numbered and counted: along dense
+    sessions a run is where di less the row number stays the same.
+    """
     if k < 2:
         raise ValueError("a proxy needs k >= 2: with 1, every missing return would be a halt")
-    return missing_runs(df, x, within, by).withColumn(out, F.coalesce(F.col("run_length") >= k, F.lit(False))).drop("run_length")
+    gone = col(x).isNull() if within is None else col(x).isNull() & within
+    missing = df.where(gone).select(*by, "di")
+    run = missing.withColumn("_run", F.col("di") - F.row_number().over(along(by)))
+    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))
+    halts = run.withColumn(out, size >= k).where(out).select(*by, "di", out)
+    return df.join(halts, [*by, "di"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def run_length_histogram(df: DataFrame, x: str, by: tuple[str, ...] = NAME) -> DataFrame:
