@@ -6,11 +6,16 @@ of PIECE_BYTES and compressed with every language's dictionaries; the language
 with the fewest bytes over all pieces wins. Pieces keep a long text from
 becoming its own dictionary; a text of few pieces is measured with more of the
 dictionaries, as single bytes would else decide. A text is rejected when it has
-no letters or when the margin between the two smallest sizes is narrow.
+no letters or when the margin between the two smallest sizes is narrow: below a
+share of the smallest size. The share is fitted on the learned texts, between
+the margins they have themselves and those of letter-shuffled copies and of
+their languages when these are left out. A sole language competes with a
+dictionary of its own shuffled letters.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +35,11 @@ DICTIONARIES = 4
 MAX_LANGUAGES = 400
 PIECE_BYTES = 600
 LEVEL = 9
-#: Bytes by which the second smallest size must exceed the smallest one: below this the margin is narrow.
+#: Bytes by which the second smallest size must exceed the smallest one at least, whatever the fitted share.
 REJECT_MARGIN = 1
+#: The share is fitted on so many pieces at most; it turns away this part of foreign pieces, but is at most this part of the clean pieces' median.
+FIT_PIECES = 2000
+FOREIGN_REJECTED, CLEAN_PART = 0.98, 1 / 3
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -79,7 +87,59 @@ def _compressors(learned: tuple[tuple[str, tuple[bytes, ...]], ...]) -> list[tup
     return out
 
 
-def classify(text: str | None, compressors: list[tuple[str, list]]) -> tuple[str, float, bool]:
+def _shuffled(text: str) -> str:
+    """The text with its letters dealt anew; spaces stay."""
+    letters = [c for c in text if c != " "]
+    random.Random(0).shuffle(letters)
+    dealt = iter(letters)
+    return "".join(c if c == " " else next(dealt) for c in text)
+
+
+def with_noise(contents: dict[str, list[bytes]]) -> tuple[tuple[str, tuple[bytes, ...]], ...]:
+    """Contents in order of language; a sole language has its shuffled letters beside it as "und"."""
+    learned = [(lang, tuple(c)) for lang, c in sorted(contents.items())]
+    if len(learned) == 1:
+        learned.append((UNKNOWN, tuple(_shuffled(c.decode()).encode() for c in learned[0][1])))
+    return tuple(learned)
+
+
+def narrow_share(learned: tuple[tuple[str, tuple[bytes, ...]], ...]) -> float:
+    """The share of the smallest size below which a margin is narrow, fitted on the learned texts.
+
+    Each piece is measured with dictionaries that do not hold it (texts are dealt over
+    them). Foreign are shuffled pieces and, with three languages or more, pieces
+    measured without their own language.
+    """
+    own = _compressors(learned)
+    each = max(1, FIT_PIECES // max(1, len(learned) * DICTIONARIES))
+    clean, foreign = [], []
+
+    def share(sizes: list[tuple[int, str]], lang: str | None = None) -> float:
+        (a, first), (b, _) = sorted(sizes)[:2]
+        return 0.0 if first == UNKNOWN or lang not in (None, first) else (b - a) / a
+
+    contents_of = {lang: contents for lang, contents in learned if lang != UNKNOWN}
+    for lang, contents in contents_of.items() if len(learned) > 1 else ():
+        for k, content in enumerate(contents):
+            text = content.decode()
+            cut = [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
+            step = -(-len(cut) // each)
+            for piece in cut[::step]:
+                sizes, noise = ([(len(c[(k + 1) % len(c)].compress(t.encode())), name) for name, c in own] for t in (piece, _shuffled(piece)))
+                clean.append(share(sizes, lang))
+                foreign.append(share(noise))
+                if len(sizes) > 2:
+                    foreign.append(share([x for x in sizes if x[1] != lang]))
+    if not clean:
+        return 0.0
+    clean.sort()
+    foreign.sort()
+    most = CLEAN_PART * clean[len(clean) // 2]
+    # Shuffled pieces alone say too little of other languages.
+    return most if len(contents_of) == 1 else min(foreign[int(FOREIGN_REJECTED * (len(foreign) - 1))], most)
+
+
+def classify(text: str | None, compressors: list[tuple[str, list]], narrow: float = 0.0) -> tuple[str, float, bool]:
     """(language, score, rejected): the score is 0 at equal sizes and nears 1 as the gap grows."""
     norm = normalise(text or "")
     if not norm or not compressors:
@@ -91,7 +151,7 @@ def classify(text: str | None, compressors: list[tuple[str, list]]) -> tuple[str
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = sizes[1][0] - sizes[0][0]
-    return sizes[0][1], margin / (margin + 8.0), margin < REJECT_MARGIN
+    return sizes[0][1], margin / (margin + 8.0), margin < max(REJECT_MARGIN, narrow * sizes[0][0]) or sizes[0][1] == UNKNOWN
 
 
 def identify(documents: DataFrame, contents: dict[str, list[bytes]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -99,18 +159,19 @@ def identify(documents: DataFrame, contents: dict[str, list[bytes]], id_col: str
 
     A text that is null or has no letter is "und" with score 0 and rejected; so is
     every text if nothing was learned. Equal sizes go to the language that sorts
-    first and are rejected. Rows that repeat stay; other columns are ignored.
+    first and are rejected, as is a margin below the fitted share. Rows that repeat stay; other columns are ignored.
     """
     small_batches(documents.sparkSession)
     chosen = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
-    learned = tuple(sorted((lang, tuple(c)) for lang, c in contents.items()))
+    learned = with_noise(contents)
+    narrow = narrow_share(learned)
     names = ["_id", *keep, "lang_pred", "score", "rejected"]
     kinds = dict(chosen.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _compressors(learned)
         for batch in batches:
-            out = [classify(t, own) for t in batch.column(1).to_pylist()]
+            out = [classify(t, own, narrow) for t in batch.column(1).to_pylist()]
             lang, score, rejected = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
 

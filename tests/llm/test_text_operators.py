@@ -221,6 +221,23 @@ def test_language_rows(spark):
     assert language.learn(odd(spark), __import__("pyspark.sql.functions", fromlist=["lit"]).lit(True)) == {}
 
 
+def test_language_rejects_junk_and_unlearned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.select("text", "lang").collect() if r["text"] and r["lang"] and len(r["text"]) > 200]
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(n)) for n in (20, 100, 1000) for _ in range(20)]
+    learned = language.learn(docs, docs["lang"] != "de")
+    assert len(learned) == 3
+    for chosen in (learned, {"en": learned["en"]}):
+        own = language.with_noise(chosen)
+        narrow, made = language.narrow_share(own), language._compressors(own)
+        rejected = lambda texts: np.mean([language.classify(t, made, narrow)[2] for t in texts])  # noqa: E731, B023
+        assert rejected(junk) > 0.95
+        assert rejected([x["text"] for x in rows if x["lang"] == "de"]) > 0.9
+        assert rejected([x["text"] for x in rows if x["lang"] in chosen]) < 0.02
+
+
 # ------------------------------------------------------------------ pages
 def article(body):
     return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/a'>Home page</a></li><li><a href='/b'>More links</a></li></ul></nav><div class='ad'>Buy this now and save.</div><article>{body}</article><footer>&copy; someone 2020</footer></body></html>"
