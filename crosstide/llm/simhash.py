@@ -8,7 +8,8 @@ has a 1 there weigh more than half of all; a text without words has zeros.
 
 Votes are counted without a column per bit: four bits that are 16 apart share
 a long, each in a lane of 16 bits, so 32 sums count 128 bits. Terms are dealt
-into chunks of 16,000, which no lane overflows, and chunks are then added in
+into chunks of 8,191, whose weight of 32,764 at most leaves the sign bit of the
+top lane unset (sums in longs fail on overflow), and chunks are then added in
 lanes of 32 bits.
 """
 
@@ -24,7 +25,7 @@ from crosstide.llm._common import written
 WORD = 64
 WORDS = 2
 BITS = WORD * WORDS
-CHUNK_TERMS = 16_000
+CHUNK_TERMS = 8_191
 MAX_RANGES = 4096
 ROWS_IN_RANGE = 512
 #: Of the search: bits that may differ, and blocks, of which all but that many must agree.
@@ -61,7 +62,6 @@ def fingerprint_columns(df: DataFrame, text_col: str, keys: list[str]) -> DataFr
         F.sum("_w").alias("_total"),
         *[F.sum(F.shiftright(f"_h{w}", j).bitwiseAND(F.lit(_LANES16)) * F.col("_w")).alias(f"_n{w}_{j}") for w in range(WORDS) for j in range(16)],
     )
-    # A lane of 16 bits may set the sign bit; the shift without sign keeps lanes apart.
     wide = narrow.groupBy(*keys).agg(
         F.sum("_total").alias("_total"),
         *[F.sum(F.shiftrightunsigned(f"_n{w}_{j}", 16 * odd).bitwiseAND(F.lit(_LANES32))).alias(f"_s{w}_{j}_{odd}") for w in range(WORDS) for j in range(16) for odd in range(2)],

@@ -361,6 +361,15 @@ def test_simhash_long_text_votes_by_chunks(spark, monkeypatch):
     assert simhash.fingerprints(df, "id").collect() == whole
 
 
+def test_simhash_repeated_words_do_not_overflow(spark):
+    words = [f"{'extraordinary' * 2}{i}" for i in range(8)]
+    texts = [" ".join([w] * 20_000) for w in words]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [f"{w} {w}" for w in words])], "id bigint, text string")
+    rows = {r["id"]: (r["f0"], r["f1"]) for r in simhash.fingerprints(df, "id").collect()}
+    # One term alone, however often, gives its own hash.
+    assert len(rows) == 16 and all(rows[i] == rows[i + 8] for i in range(8)) and any(rows[i][0] < 0 for i in range(8))
+
+
 def test_simhash_radius_search(spark):
     r = random.Random(6)
     base = [r.getrandbits(128) for _ in range(40)]
