@@ -28,8 +28,8 @@ BITS = WORD * WORDS
 CHUNK_TERMS = 8_191
 MAX_RANGES = 4096
 ROWS_IN_RANGE = 512
-#: Of the search: bits that may differ, and blocks, of which all but that many must agree.
-RADIUS, BLOCKS = 3, 6
+#: Of the search: bits that may differ (of near copies mostly 20 at most), and blocks.
+RADIUS, BLOCKS = 20, 7
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _LANES16 = 0x0001000100010001
 _LANES32 = 0x0000FFFF0000FFFF
@@ -102,7 +102,8 @@ def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col:
     """One row per row of documents: the fingerprints of its text and of its edited text.
 
     With query_every, rows whose id it divides are searched for among all rows, and
-    n_near counts the other rows within the radius (NULL for rows that are no query).
+    n_near counts the other rows within the radius and nearest is the fingerprint of
+    the closest one (NULL for rows that are no query).
 
     The edited text has the last floor(n/3) code points replaced by the first as
     many (or all) of the next document in descending id; after the last comes
@@ -144,7 +145,7 @@ def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col:
     if query_every:
         # The search reads the fingerprints several times: they are made once.
         out = near_counts(written(out, "prints"), F.coalesce(F.col("doc_id") % query_every == 0, F.lit(False)))
-    names = ["edited_fingerprint", "near_edited", "near_next", *["n_near"] * bool(query_every)]
+    names = ["edited_fingerprint", "near_edited", "near_next", *["n_near", "nearest"] * bool(query_every)]
     return out.select(F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", as_hex(F.col("f0"), F.col("f1")).alias("fingerprint"), *names)
 
 
@@ -153,45 +154,58 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return fingerprint_columns(documents.select(F.col(id_col), F.col(text_col)), text_col, [id_col])
 
 
-def _block(position: int, blocks: int) -> list[Column]:
-    """The bits of one of the blocks into which the 128 bits are cut, from one or both longs."""
+def _block(position: int, blocks: int, words: list[Column] | None = None) -> tuple[Column, int]:
+    """The bits of one of the blocks into which the 128 bits are cut, from one or both longs, and their number."""
     lo, hi = BITS * position // blocks, BITS * (position + 1) // blocks
-    parts = []
+    out = F.lit(0).cast("long")
     for w in range(WORDS):
         a, b = max(lo, w * WORD) - w * WORD, min(hi, (w + 1) * WORD) - w * WORD
         if a < b:
-            part = F.shiftrightunsigned(f"f{w}", a)
-            parts.append(part if b - a == WORD else part.bitwiseAND(F.lit((1 << (b - a)) - 1)))
-    return parts
+            part = F.shiftrightunsigned(words[w] if words else f"f{w}", a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+            out = out.bitwiseOR(F.shiftleft(part, w * WORD + a - lo))
+    return out, hi - lo
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Distinct fingerprints of prints within the radius of those of queries: (q0, q1, f0, f1, distance).
 
-    The bits are cut into blocks. If at most radius bits differ, at least
-    blocks - radius blocks agree, so one table per choice of that many blocks,
-    permuted to the front and hashed to the key, finds all; the distance is then
-    checked. Both sides are reduced to distinct fingerprints first: groups of
-    copies are one row, and (f0, f1) is the class id by which rows join the result.
+    The bits are cut into blocks. If at most radius bits differ, some block differs
+    in at most radius // blocks of them, so a table per block, probed with the
+    query's block and all values that differ in so few bits, finds all; the
+    distance is then checked. Both sides are reduced to distinct fingerprints
+    first: groups of copies are one row, and (f0, f1) is the class id by which
+    rows join the result.
     """
-    if not 0 <= radius < blocks <= BITS:
-        raise ValueError("radius must be below blocks, blocks at most 128")
-    choices = list(combinations(range(blocks), blocks - radius))
+    if not (0 <= radius <= BITS and 3 <= blocks <= BITS):
+        raise ValueError("radius must be 0 to 128, blocks 3 to 128")
 
-    def tables(df: DataFrame) -> DataFrame:
+    def probes(p: int, flips: int) -> Column:
+        value, width = _block(p, blocks)
+        masks = [sum(1 << k for k in chosen) for n in range(min(flips, width) + 1) for chosen in combinations(range(width), n)]
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m) * blocks + p)
+
+    def tables(df: DataFrame, flips: int) -> DataFrame:
         distinct = df.select("f0", "f1").dropna().distinct()
-        keys = F.array(*[F.xxhash64(F.lit(i), *[part for p in chosen for part in _block(p, blocks)]) for i, chosen in enumerate(choices)])
-        return distinct.select("f0", "f1", F.explode(keys).alias("key"))
+        return distinct.select("f0", "f1", F.explode(F.flatten(F.array(*[probes(p, flips) for p in range(blocks)]))).alias("key"))
 
-    q = tables(queries).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), "key")
-    distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
-    met = q.join(tables(prints), "key").withColumn("distance", distance).where(F.col("distance") <= radius)
-    return met.select("q0", "q1", "f0", "f1", "distance").distinct()
+    flips = radius // blocks
+    q = tables(queries, flips).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), F.col("key").alias("probe"))
+    unlike = [F.col("q0").bitwiseXOR(F.col("f0")), F.col("q1").bitwiseXOR(F.col("f1"))]
+    distance = F.bit_count(unlike[0]) + F.bit_count(unlike[1])
+    # A pair meets in each block that differs little; the first of them keeps it, so no pair is made twice.
+    first = F.lit(blocks)
+    for p in reversed(range(blocks)):
+        first = F.when(F.bit_count(_block(p, blocks, unlike)[0]) <= flips, F.lit(p)).otherwise(first)
+    # Probes are many times the rows from which sizes are guessed, so they must not be broadcast.
+    met = q.hint("merge").join(tables(prints, 0), (F.col("probe") == F.col("key")) & (distance <= radius) & (first == F.pmod("key", F.lit(blocks))))
+    return met.select("q0", "q1", "f0", "f1", distance.alias("distance"))
 
 
 def near_counts(rows: DataFrame, is_query: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """rows (f0, f1, ...) with n_near: for queries, how many other rows lie within the radius; else NULL."""
+    """rows (f0, f1, ...) with n_near and nearest: for queries, how many other rows lie within the radius, and the
+    fingerprint of the closest of them as hex (the least at equal distance, NULL if there is none); else NULL."""
     sizes = rows.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("_m"))
     found = within_radius(rows, rows.where(is_query), radius, blocks).join(sizes, ["f0", "f1"])
-    counts = found.groupBy("q0", "q1").agg((F.sum("_m") - 1).alias("n_near"))
+    other = F.when((F.col("distance") > 0) | (F.col("_m") > 1), F.struct("distance", as_hex(F.col("f0"), F.col("f1")).alias("hex")))
+    counts = found.groupBy("q0", "q1").agg((F.sum("_m") - 1).alias("n_near"), F.min(other)["hex"].alias("nearest"))
     return rows.join(counts, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1")) & is_query, "left").drop("q0", "q1")

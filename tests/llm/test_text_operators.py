@@ -380,3 +380,31 @@ def test_simhash_radius_search(spark):
     found = simhash.within_radius(df, df.limit(40), 3, 6).collect()
     want = {(row(a), row(b)) for a in prints[:40] for b in prints if (a ^ b).bit_count() <= 3}
     assert {((x["q0"], x["q1"]), (x["f0"], x["f1"])) for x in found} == want
+
+
+def test_simhash_finds_near_copies(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ka", "lorem", "st", "ver") for b in ("di", "on", "apt") for c in ("", "s", "ment", "ly", "ing")]
+    texts = [r.choices(words, k=400) for _ in range(40)]
+    copies = [[r.choice(words) if r.random() < 0.02 else w for w in t] for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts + copies)], "doc_id bigint, text string")
+    rows = {x["doc_id"]: x for x in simhash.fingerprint_and_edit(df, query_every=1).collect()}
+    assert np.mean([rows[i]["nearest"] == rows[i + 40]["fingerprint"] for i in range(40)]) > 0.9
+    gap = lambda a, b: (int(a["fingerprint"], 16) ^ int(b["fingerprint"], 16)).bit_count()
+    for i, x in rows.items():
+        near = sorted((gap(x, y), y["fingerprint"]) for j, y in rows.items() if j != i and gap(x, y) <= simhash.RADIUS)
+        assert x["n_near"] == len(near) and x["nearest"] == (near[0][1] if near else None)
+
+
+@pytest.mark.parametrize(("radius", "blocks"), [(20, 7), (0, 3), (9, 5)])
+def test_simhash_radius_search_with_flips(spark, radius, blocks):
+    r = random.Random(radius)
+    base = [r.getrandbits(128) for _ in range(30)]
+    prints = base + [b ^ sum(1 << k for k in r.sample(range(128), r.randint(0, 2 * radius + 2))) for b in base for _ in range(8)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    row = lambda x: (signed(x & ((1 << 64) - 1)), signed(x >> 64))
+    df = spark.createDataFrame([row(x) for x in prints], "f0 bigint, f1 bigint")
+    queries_ = spark.createDataFrame([row(x) for x in base], "f0 bigint, f1 bigint")
+    found = simhash.within_radius(df, queries_, radius, blocks).collect()
+    want = {(row(a), row(b), (a ^ b).bit_count()) for a in base for b in prints if (a ^ b).bit_count() <= radius}
+    assert len(found) == len(want) and {((x["q0"], x["q1"]), (x["f0"], x["f1"]), x["distance"]) for x in found} == want
