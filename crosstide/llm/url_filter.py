@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Hex digits of the digest that the equi-join uses: 4 bytes.
+#: Hex digits of the digest that the equi-join uses, as an integer: 4 bytes.
 PREFIX_DIGITS = 8
 
 
@@ -32,6 +32,10 @@ def _digest(expression: Column) -> Column:
     return F.sha2(expression.cast("binary"), 256)
 
 
+def _prefix(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, PREFIX_DIGITS), 16, 10).cast("long")
+
+
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """rules(host, path, verdict) -> one row per rule with its digest, digest prefix and precedence.
 
@@ -43,7 +47,7 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     digest = _digest(F.concat("h", "p"))
     size = (F.length("h") + F.length("p")).cast("long")
     return r.select(
-        "h", "p", digest.alias("rule_digest"), F.substring(digest, 1, PREFIX_DIGITS).alias("rule_prefix"),
+        "h", "p", digest.alias("rule_digest"), _prefix(digest).alias("rule_prefix"),
         (F.shiftleft(size, 32) + F.length("p").cast("long") * 2 + F.col("block")).alias("precedence"),
     )
 
@@ -76,8 +80,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     per_host = [expressions(s["k"], s["n"]) for s in shapes]
     expanded = rows.withColumn("_e", F.explode_outer(F.concat(*per_host))).withColumn("_d", _digest(F.col("_e")))
     keys = prepared.select("rule_digest", "rule_prefix", "precedence")
-    met = expanded.join(keys, (F.substring("_d", 1, PREFIX_DIGITS) == F.col("rule_prefix")) & (F.col("_d") == F.col("rule_digest")), "left")
-    best = met.groupBy("_row", "_id", "_host", "_path").agg(F.max("precedence").alias("_best"))
+    # The digests are compared after the join, which has the prefix as its only key: rules that share a prefix all meet the url.
+    met = expanded.withColumn("_p", _prefix(F.col("_d"))).join(keys, F.col("_p") == F.col("rule_prefix"), "left")
+    confirmed = F.when(F.col("_d") == F.col("rule_digest"), F.col("precedence"))
+    best = met.groupBy("_row", "_id", "_host", "_path").agg(F.max(confirmed).alias("_best"))
     size, path_size = F.shiftright("_best", 32), F.shiftright(F.col("_best").bitwiseAND((1 << 32) - 1), 1)
     rule = F.concat(F.col("_host").substr(F.length("_host") - (size - path_size) + 1, F.length("_host")), F.col("_path").substr(F.lit(1), path_size.cast("int")))
     verdict = F.when(F.col("_best").isNull(), F.lit(default)).when(F.col("_best").bitwiseAND(1) == 1, F.lit("block")).otherwise(F.lit("allow"))
