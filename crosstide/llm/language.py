@@ -1,11 +1,11 @@
 """Language identification by compression with per-language dictionaries.
 
 For each language a bounded sample of labelled texts, normalised, is the raw
-content of a few zstandard dictionaries. A text is normalised, cut into pieces
-of PIECE_BYTES and compressed with every language's dictionaries; the language
+content of its zstandard dictionaries. A text is normalised, cut into pieces of
+PIECE_BYTES and compressed with all dictionaries of every language; the language
 with the fewest bytes over all pieces wins. Pieces keep a long text from
-becoming its own dictionary; a text of few pieces is measured with more of the
-dictionaries, as single bytes would else decide. A text is rejected when it has
+becoming its own dictionary. Every text, short or long, is measured with the
+whole sample. A text is rejected when it has
 no letters or when the margin between the two smallest sizes is narrow: below a
 share of the smallest size. The share is fitted on the learned texts, between
 the margins they have themselves and those of letter-shuffled copies and of
@@ -16,11 +16,11 @@ dictionary of its own shuffled letters.
 from __future__ import annotations
 
 import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +29,10 @@ from crosstide.llm._common import small_batches
 #: The sample: documents per language (the least hash in each of so many buckets) and characters of each.
 SAMPLE_DOCUMENTS = 128
 SAMPLE_CHARS = 1500
-#: The sample is dealt over so many dictionaries; a text is measured at least so often.
-DICTIONARIES = 4
-#: Languages at most; more labels than this are an error, not a silent cut.
-MAX_LANGUAGES = 400
+#: The sample is dealt over so many dictionaries, so that each learned text can be measured with one that does not hold it.
+DICTIONARIES = 2
 PIECE_BYTES = 600
-LEVEL = 9
+LEVEL = 6
 #: Bytes by which the second smallest size must exceed the smallest one at least, whatever the fitted share.
 REJECT_MARGIN = 1
 #: The share is fitted on so many pieces at most; it turns away this part of foreign pieces, but is at most this part of the clean pieces' median.
@@ -42,12 +40,14 @@ FIT_PIECES = 2000
 FOREIGN_REJECTED, CLEAN_PART = 0.98, 1 / 3
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def normalise(text: str) -> str:
-    """Letters in lower case, with one space for whatever stands between them."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Letters and their marks in lower case, with one space for whatever stands between them; empty without letters."""
+    out = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    return out if _LETTER.search(out) else ""
 
 
 def learn(documents: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", spread: Column | None = None) -> dict[str, list[bytes]]:
@@ -55,14 +55,13 @@ def learn(documents: DataFrame, training: Column, text_col: str = "text", lang_c
 
     Each language's rows are dealt into SAMPLE_DOCUMENTS buckets by a hash of the
     id, and the row of least hash in each bucket is taken: a first pass over ids
-    and labels alone finds these hashes, a second fetches their texts.
+    and labels alone finds these hashes, a second fetches their texts. What is
+    learned grows with the number of labels alone, by at most SAMPLE_DOCUMENTS *
+    SAMPLE_CHARS characters each.
     """
     key = spread if spread is not None else F.xxhash64(F.col(id_col))
     rows = documents.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"), F.coalesce(training, F.lit(False)).alias("use")).where("use and lang is not null and text is not null")
     chosen = rows.groupBy("lang", F.pmod(F.shiftright("key", 8), F.lit(SAMPLE_DOCUMENTS)).alias("bucket")).agg(F.min("key").alias("key"))
-    languages = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     found = rows.join(F.broadcast(chosen.select("lang", "key")), ["lang", "key"]).groupBy("lang", "key").agg(F.min(F.substring("text", 1, SAMPLE_CHARS * 2)).alias("text")).orderBy("lang", "key").collect()
     out: dict[str, list[str]] = {}
     for r in found:
@@ -146,8 +145,7 @@ def classify(text: str | None, compressors: list[tuple[str, list]], narrow: floa
         return UNKNOWN, 0.0, True
     data = f" {norm} ".encode()
     pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-    used = max(1, -(-DICTIONARIES // len(pieces)))
-    sizes = sorted((sum(len(c.compress(p)) for c in own[:used] for p in pieces), lang) for lang, own in compressors)
+    sizes = sorted((sum(len(c.compress(p)) for c in own for p in pieces), lang) for lang, own in compressors)
     if len(sizes) == 1:
         return sizes[0][1], 1.0, False
     margin = sizes[1][0] - sizes[0][0]
