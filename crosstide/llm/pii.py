@@ -9,17 +9,28 @@ permutes those numbers (p), and the surrogate is p^-1(p(x) + 1 mod n). So
   table (coreference), whatever their letters' case;
 * different entities get different surrogates (distinctness), and none gets
   itself;
-* type, punctuation, length or field range, script, case, check digits and the
-  gender of names stay as they are.
+* type, punctuation, field range, script, case, check digits and the gender of
+  names stay as they are.
+
+Letters take the place of letters of their script and kind: by the sets of
+LETTERS, or else by their Unicode page (letters of one category, script and
+case within 256 code points). Where nothing can vary, a keyed pseudonym stands:
+an entity never keeps its form.
 
 Where two formats could meet (listed and unlisted names) the walk skips what
 belongs to the other: that is the collision check.
+
+Names are detected after a title. The parts of a name that is so detected are
+then sought in the whole text as whole words and get the same surrogates, and
+the words of an e-mail address's local part get those that they have as names.
+A name that never stands after a title is not detected.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,9 +53,12 @@ GIVEN = {
 #: Letters that take one another's place, by script and kind.
 LETTERS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "äöü", "âêîôû", "çñ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 
+#: Symbols that are permuted as one number.
+MOVED_TOGETHER = 64
+
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_CAPITAL = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:[-'][^\W\d_]+)?"
+_CAPITAL = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]*+(?:[-'][^\W\d_]++)?"
 PATTERNS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -57,6 +71,7 @@ PATTERNS: list[tuple[str, re.Pattern]] = [
 _HINTS = {"email": "@", "iban": "", "card": "", "phone": "", "ssn": "-", "ip": ".", "name": ""}
 _ANY_TITLE = re.compile(rf"\b(?:{_TITLE})\b")
 _DIGIT = re.compile(r"\d")
+_NAME_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Permutation:
@@ -101,7 +116,14 @@ class Permutation:
 
 
 def _permuted(key: bytes, tweak: str, fields: list[tuple[int, int]], allowed: Callable[[list[int]], bool] = lambda _: True) -> list[int]:
-    """Fields (value, radix) moved together; combinations that are not allowed are walked past."""
+    """Fields (value, radix) moved together; combinations that are not allowed are walked past.
+
+    Long rows of fields move in parts of MOVED_TOGETHER, which no listed name reaches.
+    """
+    if len(fields) > MOVED_TOGETHER:
+        parts = [fields[i : i + MOVED_TOGETHER] for i in range(0, len(fields), MOVED_TOGETHER)]
+        shape = hashlib.blake2b(tweak.encode(), digest_size=16).hexdigest()
+        return [v for i, part in enumerate(parts) for v in _permuted(key, f"{shape}|{i}", part)]
     n = 1
     for _, radix in fields:
         n *= radix
@@ -121,15 +143,28 @@ def _permuted(key: bytes, tweak: str, fields: list[tuple[int, int]], allowed: Ca
             return out[::-1]
 
 
+@lru_cache(1 << 14)
+def _group(c: str) -> str:
+    """The letters that may take the place of a letter in lower case; none for other characters and lone letters."""
+    listed = next((g for g in LETTERS if c in g), None)
+    if listed or not c.isalpha():
+        return listed or ""
+    kind = lambda x: (unicodedata.category(x), unicodedata.name(x, "").partition(" ")[0], x.upper() != x, len(x.upper()) == len(x.lower()) == 1 and x.upper().lower() == x)
+    own, page = kind(c), ord(c) >> 8 << 8
+    alike = "".join(x for x in map(chr, range(page, page + 256)) if kind(x) == own and not any(x in g for g in LETTERS))
+    return alike if own[3] and len(alike) > 1 else ""
+
+
 def _symbols(text: str) -> list[tuple[int, str] | None]:
     """For each character its place and set, or None where it stays."""
     out: list[tuple[int, str] | None] = []
     for c in text:
-        if c.isascii() and c.isdigit():
-            out.append((int(c), "0123456789"))
+        if c.isdecimal():
+            zero = ord(c) - int(c)
+            out.append((int(c), "".join(map(chr, range(zero, zero + 10)))))
         else:
             lower = c.lower()
-            group = next((g for g in LETTERS if lower in g), None) if len(lower) == 1 and c.isalpha() else None
+            group = _group(lower) if len(lower) == 1 else ""
             out.append((group.index(lower), group) if group else None)
     return out
 
@@ -144,7 +179,18 @@ def _spelled(text: str, symbols: list, values: list[int]) -> str:
 
 
 def _shape(symbols: list, text: str) -> str:
-    return "".join(str(LETTERS.index(s[1])) + "," if s and s[1] in LETTERS else "9" if s else c for c, s in zip(text.lower(), symbols))
+    """Each set by its first character, in brackets; what stays as it is."""
+    return "".join(f"[{s[1][0]}]" if s else f"{c.lower()}," for c, s in zip(text, symbols))
+
+
+def _pseudonym(key: bytes, kind: str, text: str) -> str:
+    """Letters that stand for an entity of which nothing can vary."""
+    number = int.from_bytes(hashlib.blake2b(f"{kind}|{text}".encode(), key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=10).digest(), "big")
+    letters = ""
+    while number:
+        number, k = divmod(number, 26)
+        letters += chr(97 + k)
+    return letters.capitalize()
 
 
 def _by_class(key: bytes, kind: str, text: str, allowed: Callable[[str], bool] = lambda _: True) -> str:
@@ -153,10 +199,18 @@ def _by_class(key: bytes, kind: str, text: str, allowed: Callable[[str], bool] =
     return _spelled(text, symbols, _permuted(key, f"{kind}|{_shape(symbols, text)}", fields, lambda v: allowed(_spelled(text, symbols, v))))
 
 
+_LETTERS_RUN = re.compile(r"[^\W\d_]{3,}")
+
+
 def _email(key: bytes, text: str) -> str:
+    """Words of the local part as parts of names, all else by class; the top-level domain stays."""
     local, _, domain = text.rpartition("@")
     *labels, top = domain.split(".")
-    return f"{_by_class(key, 'local', local)}@{'.'.join(_by_class(key, 'domain', label) for label in labels)}.{top}"
+    words = _LETTERS_RUN.findall(local)
+    rest = _LETTERS_RUN.sub("\0", local)
+    moved = iter([_name_part(key, w) for w in words])
+    local = "".join(next(moved) if c == "\0" else c for c in _by_class(key, "local", rest))
+    return f"{local}@{'.'.join(_by_class(key, 'domain', label) for label in labels)}.{top}"
 
 
 def _luhn(digits: list[int]) -> int:
@@ -166,11 +220,11 @@ def _luhn(digits: list[int]) -> int:
 
 def _redigit(text: str, digits: list[int]) -> str:
     new = iter(digits)
-    return "".join(str(next(new)) if c.isdigit() else c for c in text)
+    return "".join(chr(ord(c) - int(c) + next(new)) if c.isdecimal() else c for c in text)
 
 
 def _card(key: bytes, text: str) -> str:
-    digits = [int(c) for c in text if c.isdigit()]
+    digits = [int(c) for c in text if c.isdecimal()]
     excess = (digits[-1] - _luhn(digits[:-1])) % 10  # 0 for valid numbers; stays
     body = _permuted(key, f"card|{len(digits)}|{digits[0]}|{excess}", [(d, 10) for d in digits[1:-1]])
     body = [digits[0], *body]
@@ -182,7 +236,7 @@ def _phone(key: bytes, text: str) -> str:
     head = code.end() if code else 0
     rest = text[head:]
     shape = re.sub(r"\d", "9", rest)
-    digits, groups = [int(c) for c in rest if c.isdigit()], [len(g) for g in re.findall(r"\d+", rest)]
+    digits, groups = [int(c) for c in rest if c.isdecimal()], [len(g) for g in re.findall(r"\d+", rest)]
     firsts = {sum(groups[:i]) for i in range(min(2, len(groups)))}  # area and exchange do not begin with 0 or 1
     fields = [(d - 2, 8) if i in firsts and d > 1 else (d - 0, 2) if i in firsts else (d, 10) for i, d in enumerate(digits)]
     moved = _permuted(key, f"phone|{text[:head]}|{shape}|{[r for _, r in fields]}", fields)
@@ -209,13 +263,17 @@ def _iban(key: bytes, text: str) -> str:
 _LISTED = {name.lower(): (gender, i) for gender, names in GIVEN.items() for i, name in enumerate(names)}
 
 
+def _varies(text: str) -> bool:
+    return any(_symbols(text))
+
+
 def _name_part(key: bytes, text: str) -> str:
     """A listed given name becomes another of its gender; other names are respelled but for their last letter."""
     if text.lower() in _LISTED:
         gender, at = _LISTED[text.lower()]
         new = GIVEN[gender][Permutation(key, f"given|{gender}", len(GIVEN[gender])).move(at)]
-        return new.upper() if text.isupper() else new
-    if len(text) < 3:
+        return new.upper() if text.isupper() else new.lower() if text.islower() else new
+    if len(text) < 3 or not _varies(text[:-1]):
         return _by_class(key, "name", text)
     return _by_class(key, f"name|{text[-1].lower()}", text[:-1], lambda s: (s + text[-1]).lower() not in _LISTED) + text[-1]
 
@@ -229,7 +287,9 @@ _MAKERS = {"email": _email, "phone": _phone, "card": _card, "ip": _ip, "ssn": la
 
 @lru_cache(1 << 16)
 def surrogate(key: bytes, kind: str, text: str) -> str:
-    return _MAKERS[kind](key, text)
+    """Another entity of the kind and format, or a pseudonym where the format leaves none."""
+    made = _MAKERS[kind](key, text)
+    return made if made != text else _pseudonym(key, kind, text)
 
 
 def _valid(kind: str, text: str) -> bool:
@@ -243,8 +303,29 @@ def _valid(kind: str, text: str) -> bool:
     return True
 
 
+def _beside(taken: list[tuple[int, int, str]], found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """taken with those of found that meet none of it; both are in order."""
+    out, i = [], 0
+    for span in found:
+        while i < len(taken) and taken[i][1] <= span[0]:
+            i += 1
+        if i == len(taken) or span[1] <= taken[i][0]:
+            out.append(span)
+    return sorted(taken + out)
+
+
+def _capitalised(text: str, lo: int, hi: int) -> int:
+    """Where the name ends: before its first word in lower case."""
+    at = lo
+    for word in text[lo:hi].split(" "):
+        if word[:1].islower():
+            return max(lo, at - 1)
+        at += len(word) + 1
+    return hi
+
+
 def entities(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of what does not overlap, in order; earlier kinds of PATTERNS come first."""
+    """(kind, start, end) of what does not overlap, in order; earlier kinds of PATTERNS come first, parts of known names last."""
     taken: list[tuple[int, int, str]] = []
     digits = _DIGIT.search(text) is not None
     for kind, pattern in PATTERNS:
@@ -253,11 +334,20 @@ def entities(text: str) -> list[tuple[str, int, int]]:
                 continue
         elif not digits and kind != "email" or _HINTS[kind] not in text:
             continue
+        found = []
         for m in pattern.finditer(text):
             lo, hi = m.span("name") if kind == "name" else m.span()
-            if _valid(kind, text[lo:hi]) and not any(lo < b and a < hi for a, b, _ in taken):
-                taken.append((lo, hi, kind))
-    return [(kind, a, b) for a, b, kind in sorted(taken)]
+            if kind == "name":
+                hi = _capitalised(text, lo, hi)
+            if lo < hi and _valid(kind, text[lo:hi]):
+                found.append((lo, hi, kind))
+        taken = _beside(taken, found)
+    # A word of two letters is a name of its own only in scripts without case.
+    parts = {w for lo, hi, kind in taken if kind == "name" for w in _NAME_WORD.findall(text[lo:hi]) if len(w) > 2 or len(w) == 2 and w.upper() == w.lower()}
+    if parts:
+        again = [(m.start(), m.end(), "name") for m in _NAME_WORD.finditer(text) if m.group() in parts]
+        taken = _beside(taken, again)
+    return [(kind, a, b) for a, b, kind in taken]
 
 
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]]]:
