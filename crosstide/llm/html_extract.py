@@ -2,7 +2,7 @@
 
 A page becomes its tree of block elements; inline elements belong to their
 block. Every block gets features of its tag, attribute tokens, depth, siblings,
-subtree density and ancestors, and boosted trees give its log odds of being
+subtree density, ancestors and announcing lines, and boosted trees give its log odds of being
 main content. Decoding keeps the set of blocks of greatest total log odds,
 weighted by their own text, in which every kept block has a kept parent: what
 stands in a dropped block is dropped, whatever its own score.
@@ -10,7 +10,8 @@ stands in a dropped block is dropped, whatever its own score.
 The trees are fitted on pages that a generator writes with known labels: its
 number of pages is a parameter, its layouts vary tags, attribute tokens, order
 and nesting of articles, menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments.
+forms and reader comments (named by attributes or only announced by a line).
+In an article, its own header and lists of links without a name are content.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from crosstide.llm import gbt
 from crosstide.llm._common import small_batches
 
-TRAINING_PAGES = 700
+TRAINING_PAGES = 1000
 
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,9 +63,18 @@ TOKEN_KINDS = [
     frozenset("hidden invisible sr offscreen screenreader none".split()),
 ]
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>""", re.S)
+#: Words by which short lines announce what readers wrote.
+READERS_WORDS = frozenset("comment comments response responses reply replies kommentar kommentare antwort antworten commentaire commentaires réponse réponses comentario comentarios respuesta respuestas".split())
+#: Code points at most of a line that announces.
+SHORT_LINE = 60
+
+#: A tag or comment in the plain case, where quotes hold no angle brackets; it never passes the next "<".
+_PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/><]*+)((?:[^<>"']|"[^"<>]*+"|'[^'<>]*+')*+)>""")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -88,11 +98,103 @@ def _attributes(raw: str) -> tuple[int, int]:
     return bits, label
 
 
+class _Tags:
+    """The markup of a source in order, each character passed a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        self.ends: dict[int, int] = {}  # where a tag ends of which a quote opens here, -1 for nowhere
+
+    def _end(self, at: int) -> int:
+        """The ">" that ends a tag whose attributes begin here: outside of quotes, or else the next one; -1 without any."""
+        passed, here, end = [], at, -1
+        while (m := _QUOTE_OR_END.search(self.source, here)) is not None:
+            quote = m.start()
+            if m.group() == ">":
+                end = quote
+                break
+            if quote in self.ends:
+                end = self.ends[quote]
+                break
+            passed.append(quote)
+            if self.last[m.group()] <= quote:
+                break
+            here = self.source.find(m.group(), quote + 1) + 1
+        for quote in passed:
+            self.ends[quote] = end
+        return end if end >= 0 else self.source.find(">", at) if self.last[">"] >= at else -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str]:
+        """(start, end, closing, tag or None, attributes) of the next markup from at on; start is the size if there is none."""
+        source = self.source
+        while (lo := source.find("<", at)) >= 0:
+            if m := _PLAIN.match(source, lo):
+                return lo, m.end(), m[1] == "/", m[2].lower(), m[3]
+            if source.startswith("<!--", lo):
+                end = source.find("-->", lo + 4)
+                return lo, end + 3 if end >= 0 else len(source), False, None, ""
+            if self.last[">"] < lo:
+                break
+            if m := _NAME.match(source, lo):
+                end = self._end(m.end())
+                if end >= 0:
+                    return lo, end + 1, m[1] == "/", m[2].lower(), source[m.end() : end]
+            elif source[lo + 1 : lo + 2] in ("!", "?", "/") and lo + 1 < len(source):
+                return lo, source.find(">", lo) + 1, False, None, ""
+            at = lo + 1
+        return len(source), len(source), False, None, ""
+
+
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of scopes among them."""
+
+    def __init__(self, root: int):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.push("html", root)
+
+    def push(self, tag: str, block: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, block))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+
+    def pop(self) -> tuple[str, int]:
+        tag, block = self.stack.pop()
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        if tag in SCOPES:
+            self.scopes.pop()
+        return tag, block
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def scope(self, among: frozenset | set = frozenset()) -> int:
+        """The innermost scope that is none of these tags."""
+        if not among:
+            return self.scopes[-1]
+        return max(self.last(t) for t in SCOPES if t not in among)
+
+
 class Pages:
-    """Blocks of many pages in page order, each with its parent, and the texts in and between them."""
+    """Blocks of many pages in page order, each with its parent, and the texts in and between them.
+
+    A block stands before what it holds, so the blocks in it are those from the next one up to its end.
+    """
 
     def __init__(self):
-        self.parent, self.depth, self.kind, self.tokens, self.label, self.page = [], [], [], [], [], []
+        self.parent, self.depth, self.kind, self.tokens, self.label, self.page, self.end = [], [], [], [], [], [], []
+        self.above_tokens, self.above_kinds = [], []
+        #: Whether a block's own line announces readers' words, one of those in it does, and one before it or its ancestors does.
+        self.says, self.holds, self.heard = [], [], []
         self.chars, self.link_chars, self.words, self.marks, self.tags = [], [], [], [], []
         #: Of each page: (block, text) in order; a break between blocks is (block, None).
         self.texts: list[list[tuple[int, str | None]]] = []
@@ -101,10 +203,16 @@ class Pages:
         bits, label = _attributes(raw) if raw else (0, -1)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        self.above_tokens.append(self.above_tokens[parent] | self.tokens[parent] if parent >= 0 else 0)
+        self.above_kinds.append(self.above_kinds[parent] | 1 << self.kind[parent] if parent >= 0 else 0)
+        self.heard.append(self.heard[parent] or self.holds[parent] if parent >= 0 else False)
+        self.says.append(False)
+        self.holds.append(False)
         self.kind.append(_tag_kind(tag))
         self.tokens.append(bits)
         self.label.append(label)
         self.page.append(len(self.texts) - 1)
+        self.end.append(len(self.parent))
         for column in (self.chars, self.link_chars, self.words, self.marks, self.tags):
             column.append(0)
         return len(self.parent) - 1
@@ -113,8 +221,8 @@ class Pages:
         texts: list[tuple[int, str | None]] = []
         self.texts.append(texts)
         root = self._block(-1, "html", "")
-        stack: list[tuple[str, int]] = [("html", root)]
-        links, at, size = 0, 0, len(source)
+        elements, markup = _Open(root), _Tags(source)
+        stack, links, at, size = elements.stack, 0, 0, len(source)
 
         def text(lo: int, hi: int) -> None:
             piece = source[lo:hi]
@@ -129,97 +237,76 @@ class Pages:
                 self.chars[block] += n
                 self.link_chars[block] += n * (links > 0)
                 self.words[block] += piece.count(" ") + 1
+                if n <= SHORT_LINE and not READERS_WORDS.isdisjoint(_LETTERS.findall(piece.lower())):
+                    self.says[block] = True
+                    self.holds[max(self.parent[block], 0)] = True
                 self.marks[block] += piece.count(".") + piece.count(",") + piece.count("!") + piece.count("?")
 
         def close(down_to: int) -> None:
             nonlocal links
             while len(stack) > down_to:
-                tag, block = stack.pop()
+                tag, block = elements.pop()
                 links -= tag == "a"
                 if tag not in INLINE:
                     texts.append((block, None))
+                    self.end[block] = len(self.parent)
 
         while at < size:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                text(at, size)
-                break
-            text(at, m.start())
-            at = m.end()
-            if m[2] is None:
+            lo, hi, closing, tag, raw = markup.next(at)
+            text(at, lo)
+            at = hi
+            if tag is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag == "p" and stack[i][0] in SCOPES:
-                        break
+            if closing:
+                place = elements.last(tag)
+                if place > 0 and (tag != "p" or place > elements.scope()):
+                    close(place)
                 continue
             block = stack[-1][1]
             self.tags[block] += 1
-            if tag in VOID or m[3].endswith("/") and tag in INLINE | RAW:
+            if tag in VOID or raw.endswith("/") and tag in INLINE | RAW:
                 if tag in ("br", "hr"):
                     texts.append((block, None))
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^<>]*+>?", re.I).search(source, at)
                 at = end.end() if end else size
                 continue
             if tag in ("html", "body") and len(stack) == 1:
-                bits, label = _attributes(m[3]) if m[3] else (0, -1)
+                bits, label = _attributes(raw) if raw else (0, -1)
                 self.tokens[root] |= bits
                 self.label[root] = max(self.label[root], label)
                 continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if tag in CLOSES_P and stack[elements.blocks[-1]][0] == "p":
+                close(elements.blocks[-1])
             if tag in SAME_CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SAME_CLOSES[tag]:
-                        close(i)
-                        if tag not in ("tr", "tbody"):
-                            break
-                    elif stack[i][0] in SCOPES:
+                alike = SAME_CLOSES[tag]
+                while (place := max(map(elements.last, alike))) > elements.scope(alike):
+                    close(place)
+                    if tag not in ("tr", "tbody"):
                         break
             if tag in INLINE:
                 links += tag == "a"
-                stack.append((tag, stack[-1][1]))
+                elements.push(tag, stack[-1][1])
             else:
                 texts.append((stack[-1][1], None))
-                stack.append((tag, self._block(stack[-1][1], tag, m[3])))
+                elements.push(tag, self._block(stack[-1][1], tag, raw))
         close(0)
 
-    def levels(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Parents, and the blocks of each depth."""
-        depth = np.array(self.depth)
-        order = np.argsort(depth, kind="stable")
-        return np.array(self.parent), np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(order) else []
-
     def features(self) -> np.ndarray:
-        parent, levels = self.levels()
+        parent = np.array(self.parent)
         n = len(parent)
         up = np.maximum(parent, 0)
         own = np.column_stack([self.chars, self.link_chars, self.words, self.marks, self.tags, np.ones(n)]).astype(float)
-        kind, tokens, depth, page = (np.array(v) for v in (self.kind, self.tokens, self.depth, self.page))
+        kind, tokens, depth, page, end, above_kinds = (np.array(v) for v in (self.kind, self.tokens, self.depth, self.page, self.end, self.above_kinds))
         paragraph = (kind == 0).astype(float)
-        below = np.column_stack([own, paragraph])
-        for level in reversed(levels[1:]):
-            np.add.at(below, parent[level], below[level])
-        above_tokens, above_kinds = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for level in levels[1:]:
-            p = parent[level]
-            above_tokens[level] = above_tokens[p] | tokens[p]
-            above_kinds[level] = above_kinds[p] | (1 << kind[p])
-        siblings = np.bincount(up, parent >= 0, n)[up]
-        same = np.unique(np.stack([parent, kind]), axis=1, return_inverse=True, return_counts=True)
-        alike = same[2][same[1].ravel()] / np.maximum(siblings, 1)
+        sums = np.vstack([np.zeros(7), np.cumsum(np.column_stack([own, paragraph]), axis=0)])
+        below = sums[end] - sums[:-1]
         first = np.concatenate([[0], np.cumsum(np.bincount(page))])[page]
+        above_tokens = np.array(self.above_tokens) | np.where(parent >= 0, tokens[first], 0)
+        siblings = np.bincount(up, parent >= 0, n)[up]
+        same = np.unique(parent * (len(TAG_KINDS) + 1) + kind, return_inverse=True, return_counts=True)
+        alike = same[2][same[1]] / np.maximum(siblings, 1)
         place = (np.arange(n) - first) / np.maximum(np.bincount(page)[page], 1)
         whole = np.maximum(below[first, 0], 1)
         share = lambda a, b: a / np.maximum(b, 1)
@@ -232,18 +319,19 @@ class Pages:
         columns += [(tokens >> i) & 1 for i in range(len(TOKEN_KINDS))]
         columns += [(above_tokens >> i) & 1 for i in range(len(TOKEN_KINDS))]
         columns += [(above_kinds >> i) & 1 for i in (5, 6, 7, 8, 9, 10)]
+        columns += [np.array(v) for v in (self.says, self.holds, self.heard)]
         return np.column_stack(columns).astype(float)
 
     def decode(self, margin: np.ndarray) -> np.ndarray:
         """The kept blocks: greatest sum of weighted log odds among sets that hold the parents of their members."""
-        parent, levels = self.levels()
-        gain = margin * (np.sqrt(np.array(self.chars, float)) + 0.25)
-        for level in reversed(levels[1:]):
-            np.add.at(gain, parent[level], np.maximum(gain[level], 0))
-        keep = gain > 0
-        for level in levels[1:]:
-            keep[level] &= keep[parent[level]]
-        return keep
+        gain = (margin * (np.sqrt(np.array(self.chars, float)) + 0.25)).tolist()
+        for i in range(len(gain) - 1, -1, -1):
+            if self.parent[i] >= 0 and gain[i] > 0:
+                gain[self.parent[i]] += gain[i]
+        keep = [g > 0 for g in gain]
+        for i, p in enumerate(self.parent):
+            keep[i] = keep[i] and (p < 0 or keep[p])
+        return np.array(keep, bool)
 
     def extract(self, keep: np.ndarray) -> list[str]:
         kept = keep.tolist()
@@ -322,23 +410,40 @@ class _Writer:
             return r.choice([el("form", 0, inner), named(0, inner, ["form"], ["search", "login", "contact", "newsletter-form"])])
         if which == "comments":
             one = lambda: r.choice([named(0, el("p", 0, self.words(4, 70)), ["div", "li", "article"], ["comment", "reply", "comment-body"], 0.2), el("p", 0, self.words(4, 70)), el("li", 0, self.words(4, 60))])
+            if r.random() < 0.4:
+                return self.announced()
             inner = r.choice([el("h3", 0, self.words(1, 3)), el("h2", 0, self.words(1, 3)), ""]) + "".join(one() for _ in range(r.randint(1, 6)))
             if r.random() < 0.3:
                 inner += self.boilerplate("form")
             return named(0, inner, ["div", "section", "ol", "ul", "aside"], ["comments", "comment-list", "responses", "discussion", "reader-comments", "replies"])
         return named(0, r.choice([self.links(), self.words(2, 12)]), ["div", "ul", "p"], ["share", "social", "tags", "post-meta", "byline", "toolbar"])
 
+    def announced(self) -> str:
+        """Readers' comments whose attributes say nothing, after a line that announces them."""
+        r, el, word = self.r, self.el, self.r.choice(sorted(READERS_WORDS))
+        line = r.choice([f"{r.randint(1, 99)} {word}", word.capitalize(), f"{word.capitalize()} ({r.randint(1, 99)})", f"{self.words(1, 2)} {word}"])
+        attributes = lambda: r.choice(["", "", f'class="{r.choice(["c1", "x9", "k", "row", "inner", "box"])}"'])
+        one = lambda: r.choice([el("div", 0, el("p", 0, self.words(2, 70)), attributes()), el("p", 0, self.words(2, 70), attributes()), el("div", 0, self.words(2, 70), attributes()), el("li", 0, self.words(2, 60))])
+        return el(r.choice(["div", "div", "section", "ul"]), 0, el(r.choice(["h2", "h3", "h4", "p", "div"]), 0, line) + "".join(one() for _ in range(r.randint(1, 6))), attributes())
+
     def content(self) -> str:
         r, el = self.r, self.el
+        if r.random() < 0.12:  # a short article
+            line = self.words(1, 7)
+            return el("h1", 1, line) + el("p", 1, r.choice([line, f"<b>{line}</b><br>", self.words(1, 9)]))
         out = [el(r.choice(["h1", "h1", "h2"]), 1, self.words(2, 14))] if r.random() < 0.85 else []
+        if out and r.random() < 0.15:
+            out = [el("header", 1, out[0] + r.choice(["", el("p", 1, self.sentence(3, 25))]))]
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
             kind = r.random()
             if kind < 0.78:
                 out.append(el("p", 1, self.sentence(r.choice([1, 3, 6]), r.choice([6, 30, 140]))))
             elif kind < 0.83:
                 out.append(el(r.choice(["h2", "h3"]), 1, self.words(1, 8)))
-            elif kind < 0.88:
+            elif kind < 0.86:
                 out.append(el(r.choice(["ul", "ol"]), 1, "".join(el("li", 1, self.sentence(2, 25)) for _ in range(r.randint(2, 6)))))
+            elif kind < 0.88:
+                out.append(el(r.choice(["ul", "ol"]), 1, "".join(el("li", 1, f'<a href="/{i}">{self.words(1, 9)}</a>') for i in range(r.randint(2, 6)))))
             elif kind < 0.91:
                 out.append(el("blockquote", 1, r.choice([self.sentence(), el("p", 1, self.sentence())])))
             elif kind < 0.93:

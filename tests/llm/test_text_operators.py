@@ -368,6 +368,25 @@ def test_pages_main_text():
     assert html_extract.main_texts([None, "", "<script>x</script>", "<nav><a href='/'>Home</a></nav>"], model)[:3] == ["", "", ""]
 
 
+def test_pages_in_article_header_and_announced_comments():
+    model = html_extract.trained()
+    story = f"<p>{TEXT * 3}</p>" * 4
+    for inside in (story, f"<header><h1>The headline</h1></header>{story}", f"{story}<h2>Part two</h2>{story}"):
+        want = " ".join(re.sub("<[^>]*>", " ", inside).split())
+        for line in ("3 responses", "Comments", "Kommentare (12)", "2 commentaires", "Respuestas"):
+            readers = f"<div class='x9'><h3>{line}</h3><div class='k'><p>Great post, I liked it a lot.</p></div><div class='k'><p>I do not agree.</p></div></div>"
+            page = f"<html><body><nav><a href='/'>Home</a></nav><article>{inside}</article>{readers}<footer>&copy; someone</footer></body></html>"
+            assert html_extract.main_texts([page], model) == [want], (inside[:20], line)
+
+
+@pytest.mark.parametrize("source", ["<a " * 330_000, '<p a="' * 160_000, "<div>" * 80_000 + "</i>" * 100_000, "<div>" * 120_000, "<script>" + "</script " * 100_000, "<i>" * 80_000 + "<div></div>" * 40_000, "<ul>" + "<div>" * 60_000 + "<li></li>" * 40_000, "<p><td>" + "<div>" * 60_000 + "</p>" * 60_000, '<p "' + "<p '>" * 200_000, "<!" * 500_000])
+def test_pages_are_read_in_linear_time(source):
+    model = html_extract.trained()
+    began = time.time()
+    html_extract.main_texts([source], model)
+    assert time.time() - began < 8
+
+
 def test_pages_held_out_and_hierarchy():
     model, made = html_extract.trained(), html_extract.Pages()
     writer = html_extract._Writer(random.Random(99))
