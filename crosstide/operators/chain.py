@@ -57,7 +57,7 @@ class Chain:
 
 _SERIES = {
     "linear_decay": lambda df, x, n, first, last: df.withColumn(x, ts.linear_decay(x, n)),
-    "exp_decay": lambda df, x, h, first, last: df.withColumn(x, ts.exp_decay(x, h, first, last)),
+    "exp_decay": lambda df, x, h, first, last: ts.exp_decay(df, x, h),
     "delay": lambda df, x, k, first, last: df.withColumn(x, ts.delay(x, k)),
 }
 _CROSS = {"rank": lambda df, x, _: cs.rank(df, x), "truncate": lambda df, x, share: cs.truncate(df, x, float(share))}

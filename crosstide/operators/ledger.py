@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import nan_to_null, safe_div
 from crosstide.operators import time_series as ts
-from crosstide.sources.files import written
+from crosstide.sources.files import discard, written
 
 BPS = 1e-4
 #: Cells of a strategy that one task holds; longer histories run in chunks of sessions.
@@ -56,6 +56,10 @@ class SimResult:
         """Value and weight of each holding: the weight is value over the book."""
         return self.cells.select(*KEYS, F.col("pos").alias("holding_value"), (F.col("pos") / self.booksize).alias("holding_weight"))
 
+    def discard(self) -> None:
+        """Delete the written cells and days."""
+        discard(self.cells, self.daily)
+
     def identity_gaps(self) -> DataFrame:
         """Largest violation of the two accounting identities, per strategy: both are 0 but for rounding."""
         cell = F.abs(F.col("pos") - F.col("prev") - (F.col("pnl") + F.col("delta") + F.col("settle") + F.col("cost")))
@@ -294,7 +298,7 @@ def simulate(
     else:
         dense = dense.join(_keyed(universe, "in_pool", "boolean"), ["di", "ii"], "left").fillna({"in_pool": False})
     # From here on the inputs are a table: the checks, and each chunk, read it again.
-    dense = table(dense.select(*KEYS, *[c for c in _INPUT if c not in ("pos0", "frozen0", "seen0")], "has_w", "has_ret", "has_adv", "has_cost"), "ledger")
+    dense = dense_table = table(dense.select(*KEYS, *[c for c in _INPUT if c not in ("pos0", "frozen0", "seen0")], "has_w", "has_ret", "has_adv", "has_cost"), "ledger")
     _check_dense(dense)
     if detection.startswith("proxy"):
         dense = ts.halted_by_proxy(dense.drop("halted"), "ret", int(halt_proxy), within=F.col("day_ord") <= F.col("delist_ord"), by=("strategy", "ii"))
@@ -325,6 +329,8 @@ def simulate(
         "delist_events": a["delist_events"], "halt_cells": a["halt_cells"], "weight_nan_cells": int(cells_n - given), "adv_uncapped_cells": a["uncapped"], "adv_constrained": adv_dollar is not None,
         "universe_supplied": universe is not None, "cost_model": cost_kind, "cost_bps_avg": cost_mean,
     }
+    if keep:
+        discard(own, dense_table)  # cells and days are tables of their own by now
     return SimResult(cells, daily, audit)
 
 
@@ -365,14 +371,14 @@ def fast_cells(panel: DataFrame, booksize: float, cost_bps: float = 0.0, by: tup
     return out.withColumn("pnl", F.col("hp") - F.col("cost"))
 
 
-def fast_daily(cells: DataFrame, booksize: float) -> DataFrame:
-    """(di, long_value, short_value, trade_dollar, holding_pnl, cost, pnl, return, cash_account, nav)."""
+def fast_daily(cells: DataFrame, booksize: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., di, long_value, short_value, trade_dollar, holding_pnl, cost, pnl, return, cash_account, nav)."""
     pos = F.col("pos")
-    out = cells.groupBy("di").agg(
+    out = cells.groupBy(*by, "di").agg(
         F.sum(F.greatest(pos, F.lit(0.0))).alias("long_value"), F.sum(F.least(pos, F.lit(0.0))).alias("short_value"), F.sum(F.abs("delta")).alias("trade_dollar"),
         F.sum("hp").alias("holding_pnl"), F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum(-(F.col("delta") + F.col("cost"))).alias("_cash"), F.sum(pos).alias("_net"),
     )
-    cash = F.sum("_cash").over(Window.orderBy("di"))  # over one row per session
+    cash = F.sum("_cash").over(Window.partitionBy(*by).orderBy("di"))  # over one row per session
     return out.withColumn("return", F.col("pnl") / booksize).withColumn("cash_account", cash).withColumn("nav", F.col("_net") + F.col("cash_account")).drop("_cash", "_net")
 
 

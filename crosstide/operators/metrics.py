@@ -42,11 +42,11 @@ def _common(booksize: float, days: int) -> dict[str, Column]:
     }
 
 
-def scalars(daily: DataFrame, booksize: float, days: int = DAYS) -> DataFrame:
-    """One row of metrics over the whole run (drawdown apart)."""
+def scalars(daily: DataFrame, booksize: float, days: int = DAYS, by: list[str] | None = None) -> DataFrame:
+    """A row of metrics over the whole run (drawdown apart), per strategy with by=["strategy"]."""
     c = _common(booksize, days)
     fitness = c["sharpe"] * F.sqrt(F.abs(c["ann_return"]) / F.greatest(c["turnover"], F.lit(0.125)))
-    return daily.agg(
+    return daily.groupBy(*by or []).agg(
         F.count(F.lit(1)).alias("n_days"), *[v.alias(k) for k, v in c.items()], fitness.alias("fitness"), (c["ann_return"] * booksize).alias("ann_return_dollar"), safe_div(c["ann_return"] * booksize, F.avg("long_value")).alias("ann_return_long_side"),
         F.sum("pnl").alias("pnl_total"), F.sum("holding_pnl").alias("holding_pnl_total"), F.sum("trading_pnl").alias("trading_pnl_total"), F.sum("cost").alias("cost_total"), F.sum("trade_dollar").alias("trade_dollar_total"), safe_div(F.sum("pnl"), F.sum("holding_pnl")).alias("net_share_of_gross"),
     )
@@ -89,21 +89,21 @@ def concentration(cells: DataFrame, daily: DataFrame) -> DataFrame:
     return out.select("total_abs_pnl", "n_names_with_pnl", *[safe_div(f"_t{k}", "total_abs_pnl").alias(f"top{k}_share") for k in (1, 5, 20)], "top1_day_share", "top_day")
 
 
-def rolling_sharpe(daily: DataFrame, days: int = DAYS, r: str = "return", annual: int = DAYS) -> DataFrame:
+def rolling_sharpe(daily: DataFrame, days: int = DAYS, r: str = "return", annual: int = DAYS, by: list[str] | None = None) -> DataFrame:
     """daily with the Sharpe ratio of the last so many sessions, NULL before there are as many."""
-    frame = Window.orderBy("di").rowsBetween(-(days - 1), 0)  # over one row per session
+    frame = Window.partitionBy(*by or []).orderBy("di").rowsBetween(-(days - 1), 0)  # over one row per session
     value = safe_div(F.avg(r).over(frame), F.stddev_samp(r).over(frame)) * math.sqrt(annual)
     return daily.withColumn("rolling_sharpe", F.when(F.count(r).over(frame) == days, value))
 
 
-def halves(daily: DataFrame, r: str = "return", days: int = DAYS) -> DataFrame:
+def halves(daily: DataFrame, r: str = "return", days: int = DAYS, by: list[str] | None = None) -> DataFrame:
     """(sharpe_first_half, sharpe_second_half): the first n // 2 sessions and the rest."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    placed = daily.withColumn("_first", F.row_number().over(Window.orderBy("di")) <= F.floor(n / 2))  # over one row per session
+    own = Window.partitionBy(*by or [])
+    placed = daily.withColumn("_first", F.row_number().over(own.orderBy("di")) <= F.floor(F.count(F.lit(1)).over(own) / 2))  # over one row per session
     of = lambda flag: F.when(flag, F.col(r))
-    return placed.agg(sharpe(of(F.col("_first")), days).alias("sharpe_first_half"), sharpe(of(~F.col("_first")), days).alias("sharpe_second_half"))
+    return placed.groupBy(*by or []).agg(sharpe(of(F.col("_first")), days).alias("sharpe_first_half"), sharpe(of(~F.col("_first")), days).alias("sharpe_second_half"))
 
 
-def breakeven(daily: DataFrame) -> DataFrame:
+def breakeven(daily: DataFrame, by: list[str] | None = None) -> DataFrame:
     """How many times the cost could be larger before the gross is gone."""
-    return daily.agg(F.sum("cost").alias("cost_total"), (F.sum("pnl") + F.sum("cost")).alias("pnl_gross"), safe_div(F.sum("pnl") + F.sum("cost"), F.sum("cost")).alias("breakeven_cost"))
+    return daily.groupBy(*by or []).agg(F.sum("cost").alias("cost_total"), (F.sum("pnl") + F.sum("cost")).alias("pnl_gross"), safe_div(F.sum("pnl") + F.sum("cost"), F.sum("cost")).alias("breakeven_cost"))

@@ -6,17 +6,14 @@ counts as a missing observation without being made.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import col, safe_div
 
 NAME = ("ii",)
-#: exp_decay sums powers of two up to this exponent; longer spans use frames.
-EXPONENT_LIMIT = 900
-FRAME_HALF_LIVES = 60
+#: Half-lives of a block of sessions in exp_decay: its weights stay within 2^0 and 2^400.
+BLOCK_HALF_LIVES = 400
 
 
 def along(by: tuple[str, ...] = NAME) -> Window:
@@ -82,24 +79,30 @@ def linear_decay(x: Column | str, n: int, by: tuple[str, ...] = NAME) -> Column:
     return safe_div(sums(x * place) - t * sums(x), sums(seen * place) - t * sums(seen))
 
 
-def exp_decay(x: Column | str, half_life: int, first: int, last: int, by: tuple[str, ...] = NAME) -> Column:
-    """Weight 0.5^(age / half_life) over all sessions from first on, over the weights of what is observed.
+def exp_decay(df: DataFrame, x: str, half_life: int, out: str | None = None, by: tuple[str, ...] = NAME) -> DataFrame:
+    """df with out: weight 0.5^(age / half_life) over all earlier sessions, over the weights of what is observed.
 
-    Running sums of x 2^((s - first) / half_life) do it while the exponent stays
-    small; beyond, a frame of 60 half-lives holds all but 2^-60 of the weight.
+    Memory is without end, and a value does not depend on the span of the axis.
+    Sessions are cut into fixed blocks in which weights are powers of two from the
+    block's start on. At an observation, the sums of its own block and those of the
+    block before hold all weight but 2^-400 of it; on a session without one, both
+    sums have faded alike since the last observation, whose value stands.
     """
     if half_life < 1:
         raise ValueError("exp_decay needs a positive half-life")
-    x = col(x).cast("double")
-    if (last - first) / half_life < EXPONENT_LIMIT:
-        growth = F.pow(F.lit(2.0), (F.col("di") - first) / float(half_life))
-        frame = along(by).rowsBetween(Window.unboundedPreceding, 0)
-        return safe_div(F.sum(x * growth).over(frame), F.sum(F.when(x.isNotNull(), growth)).over(frame))
-    frame = along(by).rangeBetween(-FRAME_HALF_LIVES * half_life, 0)
-    seen = F.collect_list(F.when(x.isNotNull(), F.struct(F.col("di").alias("s"), x.alias("x")))).over(frame)
-    weight = lambda e: F.exp((e["s"] - F.col("di")) * (math.log(2.0) / half_life))
-    total = lambda f: F.aggregate(seen, F.lit(0.0), lambda acc, e: acc + f(e))
-    return safe_div(total(lambda e: weight(e) * e["x"]), total(weight))
+    block = BLOCK_HALF_LIVES * half_life
+    frame = df.withColumns({"_x": col(x).cast("double"), "_b": F.floor(F.col("di") / block)})
+    growth = F.when(F.col("_x").isNotNull(), F.pow(F.lit(2.0), (F.col("di") - F.col("_b") * block) / float(half_life)))
+    frame = frame.withColumns({"_g": growth, "_xg": F.col("_x") * growth})
+    # All three windows share one exchange and one order: by, block, session.
+    own = Window.partitionBy(*by, "_b").orderBy("di").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("_b").rangeBetween(-1, -1)
+    faded = lambda c: F.sum(c).over(own) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * 2.0**-BLOCK_HALF_LIVES
+    frame = frame.withColumns({"_n": faded("_xg"), "_w": faded("_g")})
+    value = F.when(F.col("_x").isNotNull(), safe_div("_n", "_w"))
+    last = Window.partitionBy(*by).orderBy("_b", "di").rowsBetween(Window.unboundedPreceding, 0)
+    frame = frame.withColumn("_y", value).withColumn(out or x, F.last("_y", ignorenulls=True).over(last))
+    return frame.drop("_x", "_b", "_g", "_xg", "_n", "_w", "_y")
 
 
 def missing_runs(df: DataFrame, x: str, within: Column | None = None, by: tuple[str, ...] = NAME) -> DataFrame:
@@ -147,6 +150,6 @@ def first_time(flag: Column | str, by: tuple[str, ...] = NAME) -> Column:
 
 
 def future_product(ratio: Column | str, by: tuple[str, ...] = NAME) -> Column:
-    """Product of the ratios of all later sessions, 1 at the last."""
-    frame = along(by).rowsBetween(1, Window.unboundedFollowing)
-    return F.coalesce(F.product(F.coalesce(col(ratio).cast("double"), F.lit(1.0))).over(frame), F.lit(1.0))
+    """Product of the ratios of all later sessions, 1 at the last: a running product in descending order."""
+    later = Window.partitionBy(*by).orderBy(F.col("di").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.product(F.coalesce(col(ratio).cast("double"), F.lit(1.0))).over(later), F.lit(1.0))

@@ -37,7 +37,7 @@ def adjustment_factor(bars: DataFrame, splits: DataFrame, dividends: DataFrame,
     before = F.lag("raw_close").over(order)
     paid = F.when(F.col("_amount").isNotNull() & (before != 0), 1.0 - safe_div(F.col("_amount") * F.col("split_cum"), before))
     out = out.withColumn("_step", F.coalesce("_split", F.lit(1.0)) * F.coalesce(paid, F.lit(1.0)))
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(key).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("adj_factor", F.coalesce(F.product("_step").over(later), F.lit(1.0))).drop("_split", "_amount", "_step")
 
 
@@ -99,7 +99,8 @@ def join_reference(constituents: DataFrame, listed: DataFrame, filings: DataFram
         s.fold_symbol("`NASDAQ Symbol`").alias("key"), F.col("NASDAQ Symbol").alias("_nasdaq"), F.col("CQS Symbol").alias("_cqs"), F.col("Security Name").alias("_name"),
         F.col("Listing Exchange").alias("_exchange"), F.col("ETF").alias("_etf"), F.col("Round Lot Size").alias("_lot"), F.col("Financial Status").alias("_status"), F.lit(True).alias("_listed"),
     )
-    filed = filings.select(F.trim("ticker").alias("key"), s.padded_cik("cik").alias("_filed"), F.lit(True).alias("_known")).dropDuplicates(["key"])
+    # Of several identifiers of one ticker the smallest counts.
+    filed = filings.groupBy(F.trim("ticker").alias("key")).agg(F.min(s.padded_cik("cik")).alias("_filed"), F.lit(True).alias("_known"))
     out = left.join(right, "key", "left").join(filed, "key", "left")
     own = s.padded_cik("CIK")
     added = s.parse_date("`Date added`")

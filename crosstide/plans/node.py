@@ -61,8 +61,11 @@ def _inputs(panels: Panels, spec: Spec, refs: list[str], i0: int, i1: int) -> tu
             if fill is not None:
                 frame = frame.withColumn(name, F.coalesce(name, F.lit(fill).cast(TYPES[meta["dtype"]])))
         else:
-            slots = F.transform(F.array_sort(F.collect_list(F.struct("ti", name))), lambda s: s[name])
-            frame = frame.join(source.groupBy("di", "ii").agg(slots.alias(name)), ["di", "ii"], "left")
+            # Slots stand at their place; absent ones are NULL.
+            by_slot = F.map_from_entries(F.collect_list(F.struct("ti", name)))
+            whole = F.transform(F.sequence(F.lit(0), F.lit(meta.get("slots", 1) - 1)), lambda i: F.try_element_at("_slots", i))
+            cubes = source.groupBy("di", "ii").agg(by_slot.alias("_slots")).select("di", "ii", whole.alias(name))
+            frame = frame.join(cubes, ["di", "ii"], "left")
         if ranks[ref] < 3 and TYPES[meta["dtype"]] != "boolean":
             frame = frame.withColumn(name, F.col(name).cast("double"))
         columns[ref] = name
@@ -180,7 +183,7 @@ def _by_day(panels: Panels, spec: Spec, node: NodeSpec, frame: DataFrame, column
             out[f"y_{k}"] = np.repeat(data[ref], n) if rank == 1 else data[ref].ravel()
         yield pd.DataFrame(out)
 
-    made = frame.coalesce(1).mapInPandas(run, schema)
+    made = frame.repartition(1).mapInPandas(run, schema)
     made = made.withColumns({f"y_{k}": F.when(~F.isnan(f"y_{k}"), F.col(f"y_{k}")) for k in chained})
     return frame.join(made, ["di", "ii"], "left"), {k: F.col(f"y_{k}") for k in keys}
 

@@ -64,7 +64,8 @@ class Axes:
         return len(new)
 
     def ensure_securities(self, ids: list[int]) -> int:
-        new = [i for i in dict.fromkeys(map(int, ids)) if i not in set(self.securities)]
+        known = set(self.securities)
+        new = [i for i in dict.fromkeys(map(int, ids)) if i not in known]
         self.securities += new
         if new:
             self._save()

@@ -30,6 +30,16 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def _replace(spark: SparkSession, source, target) -> None:
+    """One rename that replaces the target: at no time is there neither the old file nor the new one."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    whole = target.getFileSystem(conf).makeQualified
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole(target).toUri(), conf).rename(whole(source), whole(target), how)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the target, then rename: readers see the old file or the new one."""
     fs, target = _at(spark, path)
@@ -39,10 +49,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.write(text.encode())
     finally:
         stream.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not put {path} in place")
+    _replace(spark, beside, target)
 
 
 def children(spark: SparkSession, path: str) -> list[str]:
@@ -61,10 +68,7 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     fs, old = _at(spark, source)
     _, new = _at(spark, target)
     fs.mkdirs(new.getParent())
-    if fs.exists(new):
-        fs.delete(new, False)
-    if not fs.rename(old, new):
-        raise OSError(f"could not move {source} to {target}")
+    _replace(spark, old, new)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -99,7 +103,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(spark, label)
     df.write.parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_at", None):
+            delete(df.sparkSession, path)
+            _scratch[:] = [(s, p) for s, p in _scratch if p != path]
 
 
 @atexit.register

@@ -86,6 +86,11 @@ def _check_range(axes: Axes, df: DataFrame, dims: list[str], sessions: tuple[int
     return sessions
 
 
+def _slots(rows: DataFrame, old: dict, dims) -> dict:
+    """The number of intraday slots of a panel of three dims."""
+    return {"slots": max(old.get("slots", 0), (rows.agg(F.max("ti")).first()[0] or 0) + 1)} if "ti" in dims else {}
+
+
 class _Common:
     def expand(self, pattern: str) -> list[str]:
         found = expand(pattern, self.list_refs())
@@ -208,7 +213,9 @@ class Store(_Common):
             files.delete(self.spark, f"{folder}/{name}")
             raise
         covered = stored.agg(F.countDistinct("ii")).first()[0] if "ii" in dims else 0
-        out = self._described(ref, old, dims, dtype, covered, sessions, rebuild, fingerprint, meta)
+        out = self._described(ref, old, dims, dtype, covered, sessions, rebuild, fingerprint, meta) | _slots(stored, old, dims)
+        if "retired" in old:
+            out["retired"] = old["retired"]
         out["segments"] = [*old.get("segments", []), {"name": name, "first": sessions[0], "last": sessions[1]}]
         files.write_text(self.spark, f"{folder}/_panel.json", json.dumps(out, indent=1))
         if len(out["segments"]) > SEGMENTS:
@@ -216,15 +223,16 @@ class Store(_Common):
         return out
 
     def merge_segments(self, ref: str) -> dict:
-        """One segment in place of many."""
+        """One segment in place of many. The old ones stay until the next merge, for reads that have begun."""
         meta, folder, name = self.meta(ref), self._folder(ref), f"segment-{uuid.uuid4().hex}"
         whole = self.read(ref)
         whole.repartitionByRange("di").sortWithinPartitions(*meta["dims"]).write.parquet(f"{folder}/{name}")
-        old = meta["segments"]
+        retired = meta.get("retired", [])
+        meta["retired"] = [s["name"] for s in meta["segments"]]
         meta["segments"] = [{"name": name, "first": meta["first_session"], "last": meta["last_session"]}]
         files.write_text(self.spark, f"{folder}/_panel.json", json.dumps(meta, indent=1))
-        for segment in old:
-            files.delete(self.spark, f"{folder}/{segment['name']}")
+        for old in retired:
+            files.delete(self.spark, f"{folder}/{old}")
         return meta
 
 
@@ -263,5 +271,5 @@ class MemoryPanels(_Common):
         if ref in self._frames:
             made = self._frames[ref].where(~F.col("di").between(*sessions)).unionByName(made)
         self._frames[ref] = made
-        self._meta[ref] = self._described(ref, old, dims, dtype, covered, sessions, rebuild, fingerprint, meta)
+        self._meta[ref] = self._described(ref, old, dims, dtype, covered, sessions, rebuild, fingerprint, meta) | _slots(made, old, dims)
         return self._meta[ref]

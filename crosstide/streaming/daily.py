@@ -30,7 +30,9 @@ def upsert_daily(stream: DataFrame, panels: Panels, ref: str, checkpoint: str, v
         if not days:
             return
         panels.axes.ensure_sessions([d for d in days if d not in panels.axes])
-        panels.axes.ensure_securities([r["ii"] for r in batch.select("ii").distinct().orderBy("ii").collect()])
+        # Only ids that are not on the axis yet reach the driver.
+        strangers = batch.select(F.col("ii").cast("int").alias("ii")).distinct().join(panels.axes.security_table(), "ii", "left_anti")
+        panels.axes.ensure_securities([r["ii"] for r in strangers.orderBy("ii").collect()])
         first, last = panels.axes.pos(days[0]), panels.axes.pos(days[-1])
         rows = batch.join(F.broadcast(panels.axes.session_table(first, last + 1)), "date").select("di", "ii", F.col(value).alias("value"))
         panels.write(ref, rows, dtype=dtype, sessions=(first, last))

@@ -68,7 +68,7 @@ def test_linear_decay_closed_form(spark):
 @pytest.mark.parametrize("span", [10, 100_000])
 def test_exp_decay_recurrence(spark, span):
     values = [1.0, None, 4.0, -2.0, None, None, 3.0]
-    got = out(series(spark, values).withColumn("x", ts.exp_decay("x", 2, 0, span)))
+    got = out(ts.exp_decay(series(spark, values), "x", 2))
     num = den = 0.0
     for v, g in zip(values, got):
         num, den = num * 0.5**0.5 + (v or 0.0), den * 0.5**0.5 + (v is not None)
@@ -76,7 +76,7 @@ def test_exp_decay_recurrence(spark, span):
 
 
 def test_exp_decay_before_any_value(spark):
-    assert out(series(spark, [None, 2.0]).withColumn("x", ts.exp_decay("x", 2, 0, 2)))[0] is None
+    assert out(ts.exp_decay(series(spark, [None, 2.0]), "x", 2))[0] is None
 
 
 def test_delay_is_over_sessions_not_rows(spark):
