@@ -371,12 +371,12 @@ def fast_cells(panel: DataFrame, booksize: float, cost_bps: float = 0.0, by: tup
     return out.withColumn("pnl", F.col("hp") - F.col("cost"))
 
 
-def fast_daily(cells: DataFrame, booksize: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., di, long_value, short_value, trade_dollar, holding_pnl, cost, pnl, return, cash_account, nav)."""
+def fast_daily(cells: DataFrame, booksize: float, by: tuple[str, ...] = (), more: list[Column] | None = None) -> DataFrame:
+    """(by..., di, long_value, short_value, trade_dollar, holding_pnl, cost, pnl, return, cash_account, nav), and more sums of the sessions."""
     pos = F.col("pos")
     out = cells.groupBy(*by, "di").agg(
         F.sum(F.greatest(pos, F.lit(0.0))).alias("long_value"), F.sum(F.least(pos, F.lit(0.0))).alias("short_value"), F.sum(F.abs("delta")).alias("trade_dollar"),
-        F.sum("hp").alias("holding_pnl"), F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum(-(F.col("delta") + F.col("cost"))).alias("_cash"), F.sum(pos).alias("_net"),
+        F.sum("hp").alias("holding_pnl"), F.sum("cost").alias("cost"), F.sum("pnl").alias("pnl"), F.sum(-(F.col("delta") + F.col("cost"))).alias("_cash"), F.sum(pos).alias("_net"), *more or [],
     )
     cash = F.sum("_cash").over(Window.partitionBy(*by).orderBy("di"))  # over one row per session
     return out.withColumn("return", F.col("pnl") / booksize).withColumn("cash_account", cash).withColumn("nav", F.col("_net") + F.col("cash_account")).drop("_cash", "_net")

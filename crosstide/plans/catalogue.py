@@ -18,6 +18,7 @@ from crosstide.operators import metrics as m
 from crosstide.operators import time_series as ts
 from crosstide.operators.chain import weights
 from crosstide.plans import demo
+from crosstide.sources import panels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,8 +67,8 @@ dlt AS (SELECT *, pos - prev - hp AS delta FROM hpn),
 cells AS (SELECT *, abs(delta) * 0.001 AS cost, hp - abs(delta) * 0.001 AS pnl FROM dlt),
 daily AS (SELECT di, sum(greatest(pos, 0)) AS long_value, sum(least(pos, 0)) AS short_value, sum(abs(delta)) AS trade_dollar, sum(hp) AS holding_pnl, sum(cost) AS cost, sum(pnl) AS pnl, sum(pnl) / 1e6 AS ret,
   sum(sum(-(delta + cost))) OVER (ORDER BY di) AS cash_account, sum(pos) AS net, avg(cells.ret) AS market_ret, sum((pos > 0)::INT) AS long_count, sum((pos < 0)::INT) AS short_count FROM cells GROUP BY di)"""
-S_LINES = "splits AS (SELECT o_orderkey % 100 AS ii, CAST(o_orderdate AS DATE) AS ex_date, 1 + (o_orderkey % 5) / 2.0 AS ratio, o_orderkey AS event FROM orders WHERE o_orderkey % 97 = 0)"
-B_LINES = "bars AS (SELECT l_suppkey AS ii, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) AS close FROM lineitem WHERE l_suppkey < 100 GROUP BY 1, 2)"
+S_LINES = "splits AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS ii, CAST(o_orderdate AS DATE) AS ex_date, CAST(1 + (o_orderkey % 5) / 50.0 AS DOUBLE) AS ratio, o_orderkey AS event FROM orders)"
+B_LINES = "bars AS (SELECT l_suppkey AS ii, CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / nullif(sum(l_quantity), 0) AS close FROM lineitem GROUP BY 1, 2)"
 
 
 def q(ctes: str, select: str) -> str:
@@ -79,27 +80,22 @@ def rs(e: str, alias: str, digits: int = 6) -> str:
 
 
 # ------------------------------------------------------------------ panels and joins
-@register(q(EVG, f"SELECT di, ii, {rs('x', 'x')}, n FROM evg"))
+@register(q(EVG, f"SELECT di, ii, {rs('x', 'x')} FROM evg"))
 def panel_grid_align(spark, d):
-    return demo.dense(demo.ev(spark, d)).select(F.col("di").cast("int").alias("di"), "ii", r("x").alias("x"), "n")
+    """A sparse panel on the whole axes."""
+    return _cells(panels.aligned(demo.ev_panels(spark, d), demo.EV_X).withColumnRenamed("value", "x"), "x")
 
 
 @register(q(EV, f"SELECT di, ii, {rs('x', 'x')} FROM ev WHERE di BETWEEN 5 AND 20"))
 def panel_range(spark, d):
-    return _cells(demo.ev(spark, d).where(F.col("di").between(5, 20)), "x")
+    """Sessions 5 to 20 by their dates."""
+    store = demo.ev_panels(spark, d)
+    return _cells(store.read(demo.EV_X, store.axes.date(5), store.axes.date(20)).withColumnRenamed("value", "x"), "x")
 
 
 @register(q(EV, f"SELECT di, ii, {rs('x', 'x')} FROM ev WHERE di > (SELECT max(di) FROM ev) - 3"))
 def panel_tail(spark, d):
-    e = demo.ev(spark, d)
-    return _cells(e.crossJoin(F.broadcast(e.agg(F.max("di").alias("last")))).where(F.col("di") > F.col("last") - 3), "x")  # one row
-
-
-@register(q(EV, f"SELECT e.di, e.ii, {rs('e.x - k.mean', 'excess')} FROM ev e JOIN (SELECT di, avg(x) AS mean FROM ev GROUP BY di) k ON k.di = e.di"))
-def rank1_broadcast(spark, d):
-    e = demo.ev(spark, d)
-    mean = e.groupBy("di").agg(F.avg("x").alias("mean"))
-    return _cells(e.join(F.broadcast(mean), "di").withColumn("excess", F.col("x") - F.col("mean")), "excess")
+    return _cells(demo.ev_panels(spark, d).tail(demo.EV_X, 3).withColumnRenamed("value", "x"), "x")
 
 
 @register(q(EVP, "SELECT di, ii, in_pool FROM evp"))
@@ -107,9 +103,10 @@ def universe_top_n(spark, d):
     return demo.ev_pool(spark, d).select(F.col("di").cast("int").alias("di"), "ii", "in_pool")
 
 
-@register(q(EV, "SELECT di, count(DISTINCT ii) AS names, sum(n) AS events FROM ev GROUP BY di"))
+@register(q(EV, "SELECT 'g_demo.field_demo_ev.x' AS ref, 'di,ii' AS dims, 'f8' AS dtype, 1 AS version, min(di) AS first_session, max(di) AS last_session, CAST(count(DISTINCT ii) AS INTEGER) AS n_cols_covered FROM ev"))
 def panel_coverage(spark, d):
-    return demo.ev(spark, d).groupBy(F.col("di").cast("int").alias("di")).agg(F.countDistinct("ii").alias("names"), F.sum("n").alias("events"))
+    """The catalog's row of a panel: extent and names covered."""
+    return demo.ev_panels(spark, d).catalog().where(F.col("ref") == demo.EV_X).select("ref", "dims", "dtype", "version", "first_session", "last_session", "n_cols_covered")
 
 
 # ------------------------------------------------------------------ cross-sections
@@ -162,7 +159,22 @@ def ts_linear_decay(spark, d):
 
 @register(q(EVG, f"SELECT a.di, a.ii, {rs('sum(b.x * pow(0.5, (a.di - b.di) / 3.0)) / nullif(sum(CASE WHEN b.x IS NOT NULL THEN pow(0.5, (a.di - b.di) / 3.0) END), 0)', 'y')} FROM evg a JOIN evg b ON b.ii = a.ii AND b.di <= a.di GROUP BY a.di, a.ii"))
 def ts_exp_decay(spark, d):
-    return _cells(demo.ev_grid(spark, d).withColumn("y", ts.exp_decay("x", 3, 0, 30)), "y")
+    return _cells(ts.exp_decay(demo.ev_grid(spark, d), "x", 3, "y"), "y")
+
+
+LONG = """dd AS (SELECT CAST(date_diff('day', (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem), CAST(l_shipdate AS DATE)) AS INTEGER) AS di, l_suppkey % 7 AS ii, sum(l_quantity) AS x FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '1995-03-01' OR CAST(l_shipdate AS DATE) > DATE '2001-09-01' GROUP BY 1, 2),
+dg AS (SELECT t.di, u.ii, dd.x FROM (SELECT unnest(generate_series(0, (SELECT max(di) FROM dd)))::INTEGER AS di) t CROSS JOIN (SELECT DISTINCT ii FROM dd) u LEFT JOIN dd ON dd.di = t.di AND dd.ii = u.ii),
+lo AS (SELECT di, ii, last_value(CASE WHEN x IS NOT NULL THEN di END IGNORE NULLS) OVER (PARTITION BY ii ORDER BY di) AS seen FROM dg)"""
+
+
+@register(q(LONG, f"SELECT a.di, a.ii, {rs('sum(b.x * pow(0.5, (a.seen - b.di) / 1.0)) / nullif(sum(pow(0.5, (a.seen - b.di) / 1.0)), 0)', 'y')} FROM lo a LEFT JOIN dd b ON b.ii = a.ii AND b.di <= a.seen AND b.di > a.seen - 200 GROUP BY a.di, a.ii"))
+def ts_exp_decay_long(spark, d):
+    """Half-life 1 over an axis of 2,500 sessions whose middle years have no value: the last values stand."""
+    items = demo.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), (F.col("l_suppkey") % 7).alias("ii"), "l_quantity")
+    first = items.agg(F.min("date").alias("first"))
+    ends = items.where((F.col("date") < F.lit("1995-03-01").cast("date")) | (F.col("date") > F.lit("2001-09-01").cast("date")))
+    days = ends.crossJoin(F.broadcast(first)).groupBy(F.date_diff("date", "first").alias("di"), "ii").agg(F.sum("l_quantity").alias("x"))  # one row
+    return _cells(ts.exp_decay(demo.dense(days), "x", 1, "y"), "y")
 
 
 @register(q(SPG, f"SELECT di, ii, {rs('px / nullif(lag(px, 6) OVER (PARTITION BY ii ORDER BY di), 0) - 1', 'y')} FROM spg"))
@@ -280,40 +292,31 @@ def ledger_nav_identity(spark, d):
     return daily.select(F.col("di").cast("int").alias("di"), r("nav", 2).alias("nav"), r(total, 2).alias("cum_pnl"))
 
 
-def _general(spark, d, **options):
-    book = demo.sp_book(spark, d)
-    return ledger.simulate(book.select("di", F.col("ii").cast("int").alias("ii"), "w"), book.select("di", F.col("ii").cast("int").alias("ii"), "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), **options)
-
-
-GENERAL = [c for c in ledger.DAILY_COLUMNS if c not in ("oop_weight",)]
-
-
-@register()
-def ledger_general(spark, d):
-    """The fold with halts by proxy of two months and ghosts closed, every cell."""
-    cells = _general(spark, d, halt_proxy=2, ghost_tolerance=1.0).cells
-    return _cells(cells, "prev", "hp", "target", "delta", "cost", "settle", "pos", "pnl", digits=2)
+#: Metrics of a set of sessions in SQL, by name.
+COMMON = {
+    "sharpe": "avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)", "ann_return": "avg(ret) * 252", "turnover": "avg(trade_dollar) / 1e6", "margin_bps": "sum(pnl) / nullif(sum(trade_dollar), 0) * 1e4", "cost_share_of_gross": "sum(cost) / nullif(sum(holding_pnl), 0)",
+    "avg_long_value": "avg(long_value)", "avg_short_value": "avg(short_value)", "avg_long_count": "avg(long_count)", "avg_short_count": "avg(short_count)", "long_short_ratio": "avg(long_value) / nullif(-avg(short_value), 0)", "return_std_daily": "stddev_samp(ret)", "hit_rate": "avg((pnl > 0)::INT)",
+}
+SCALAR = COMMON | {
+    "fitness": f"{COMMON['sharpe']} * sqrt(abs({COMMON['ann_return']}) / greatest({COMMON['turnover']}, 0.125))", "ann_return_dollar": "avg(ret) * 252 * 1e6", "ann_return_long_side": "avg(ret) * 252 * 1e6 / nullif(avg(long_value), 0)", "pnl_total": "sum(pnl)", "holding_pnl_total": "sum(holding_pnl)",
+    "cost_total": "sum(cost)", "trade_dollar_total": "sum(trade_dollar)", "net_share_of_gross": "sum(pnl) / nullif(sum(holding_pnl), 0)",
+}
+PERIOD = COMMON | {"pnl": "sum(pnl)", "holding_pnl": "sum(holding_pnl)", "cost": "sum(cost)", "trade_dollar": "sum(trade_dollar)", "long_share": "avg(long_value) / nullif(avg(long_value) + abs(avg(short_value)), 0)"}
+_money = lambda c: 2 if c in ("avg_long_value", "avg_short_value", "ann_return_dollar", "pnl_total", "holding_pnl_total", "cost_total", "trade_dollar_total", "pnl", "holding_pnl", "cost", "trade_dollar") else 6
 
 
-@register()
-def ledger_capped_fold(spark, d):
-    """The fold with a limit of a tenth of each name's mean dollar volume: its daily roll-up."""
-    grid = demo.sp_grid(spark, d)
-    adv = grid.select("di", F.col("ii").cast("int").alias("ii"), (F.col("px") * F.col("vol")).alias("adv"))
-    daily = _general(spark, d, adv_dollar=adv, ghost_tolerance=1.0).daily
-    return daily.select(F.col("di").cast("int").alias("di"), *[r(c, 2).alias(c) for c in GENERAL])
-
-
-@register(q(LEDGER, f"SELECT count(*) AS n_days, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)', 'sharpe')}, {rs('avg(ret) * 252', 'ann_return')}, {rs('avg(trade_dollar) / 1e6', 'turnover')}, {rs('sum(pnl) / nullif(sum(trade_dollar), 0) * 1e4', 'margin_bps')}, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) * sqrt(abs(avg(ret) * 252) / greatest(avg(trade_dollar) / 1e6, 0.125))', 'fitness')}, {rs('avg((pnl > 0)::INT)', 'hit_rate')}, {rs('sum(cost)', 'cost_total', 2)}, {rs('avg(long_count)', 'avg_long_count')} FROM daily"))
+@register(q(LEDGER, "SELECT count(*) AS n_days, " + ", ".join(rs(e, c, _money(c)) for c, e in SCALAR.items()) + " FROM daily"))
 def metrics_scalar(spark, d):
-    out = m.scalars(demo.sp_daily(spark, d), demo.BOOK)
-    return out.select("n_days", *[r(c).alias(c) for c in ("sharpe", "ann_return", "turnover", "margin_bps", "fitness", "hit_rate")], r("cost_total", 2).alias("cost_total"), r("avg_long_count").alias("avg_long_count"))
+    """All metrics of the whole run."""
+    return m.scalars(demo.sp_daily(spark, d), demo.BOOK).select("n_days", *[r(c, _money(c)).alias(c) for c in SCALAR])
 
 
-@register(q(LEDGER + ", dated AS (SELECT *, strftime(DATE '1995-01-01' + to_months(di), '%Y') AS y, strftime(DATE '1995-01-01' + to_months(di), '%Y-%m') AS ym FROM daily)", f"SELECT coalesce(ym, y, 'all') AS period, count(*) AS days, {rs('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)', 'sharpe')}, {rs('sum(pnl)', 'pnl', 2)}, {rs('avg(trade_dollar) / 1e6', 'turnover')}, {rs('avg(long_value) / nullif(avg(long_value) + abs(avg(short_value)), 0)', 'long_share')} FROM dated GROUP BY GROUPING SETS ((), (y), (y, ym))"))
+@register(q(LEDGER + """, dated AS (SELECT *, strftime(DATE '1995-01-01' + to_months(di), '%Y') AS y, strftime(DATE '1995-01-01' + to_months(di), '%Y-%m') AS ym FROM daily),
+lv AS (SELECT unnest(['all', y, ym]) AS period, di, pnl FROM dated), cm AS (SELECT period, di, sum(pnl) OVER (PARTITION BY period ORDER BY di) AS c FROM lv), fl AS (SELECT period, -min(c - p) AS f FROM (SELECT period, c, greatest(max(c) OVER (PARTITION BY period ORDER BY di), 0) AS p FROM cm) GROUP BY period)""",
+    "SELECT k.*, f.max_drawdown FROM (SELECT coalesce(ym, y, 'all') AS period, count(*) AS days, " + ", ".join(rs(e, c, _money(c)) for c, e in PERIOD.items()) + f" FROM dated GROUP BY GROUPING SETS ((), (y), (y, ym))) k JOIN (SELECT period, {rs('f / 1e6', 'max_drawdown')} FROM fl) f USING (period)"))
 def metrics_grouping_sets(spark, d):
-    out = m.periods(demo.sp_daily(spark, d), demo.BOOK)
-    return out.select("period", "days", r("sharpe").alias("sharpe"), r("pnl", 2).alias("pnl"), r("turnover").alias("turnover"), r("long_share").alias("long_share"))
+    """All fields of the run's, the years' and the months' records."""
+    return m.periods(demo.sp_daily(spark, d), demo.BOOK).select("period", "days", *[r(c, _money(c)).alias(c) for c in PERIOD], r("max_drawdown").alias("max_drawdown"))
 
 
 @register(q(LEDGER + ", cum AS (SELECT di, sum(pnl) OVER (ORDER BY di) AS c FROM daily), pk AS (SELECT di, c, greatest(max(c) OVER (ORDER BY di), 0) AS p FROM cum), tr AS (SELECT min(c - p) AS dd FROM pk), tt AS (SELECT min(di) AS t FROM pk, tr WHERE c - p = dd)", f"SELECT {rs('-(SELECT dd FROM tr)', 'max_drawdown', 2)}, (SELECT min(di) FROM pk WHERE di <= (SELECT t FROM tt) AND c = (SELECT max(c) FROM pk WHERE di <= (SELECT t FROM tt))) AS from_di, (SELECT t FROM tt) AS to_di"))
@@ -350,16 +353,10 @@ def stability_halves(spark, d):
 
 @register(q(SPG, f"SELECT di, {rs('avg(ret)', 'market_ret')} FROM spg GROUP BY di"))
 def market_return(spark, d):
-    return demo.sp_grid(spark, d).groupBy(F.col("di").cast("int").alias("di")).agg(r(F.avg("ret")).alias("market_ret"))
-
+    from crosstide.plans import base
 
-@register()
-def quality_gates(spark, d):
-    """The seven gates of the general ledger: name, state and note."""
-    from crosstide.operators import gates
-
-    result = _general(spark, d, halt_proxy=2, ghost_tolerance=1.0)
-    return spark.createDataFrame([(g["gate"], g["state"], g["note"]) for g in gates.evaluate(result)["gates"]], "gate string, state string, note string")
+    out = base.market_return(demo.sp_grid(spark, d).withColumnRenamed("ret", "ret_1d"))
+    return out.select(F.col("di").cast("int").alias("di"), r("value").alias("market_ret"))
 
 
 # ------------------------------------------------------------------ stores and streams
@@ -430,9 +427,9 @@ def stream_exp_decay(spark, d):
 
 
 # ------------------------------------------------------------------ events and reference data
-@register(f"WITH {S_LINES}, {B_LINES} SELECT s.event, {rs('(SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date)', 'before')}, {rs('(SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date)', 'after')} FROM splits s")
+@register(f"WITH {S_LINES}, {B_LINES} SELECT s.event, {rs('(SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date)', 'before', 9)}, {rs('(SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date)', 'after', 9)} FROM splits s")
 def asof_prev_next(spark, d):
-    return evt.as_of(demo.splits(spark, d), demo.bars(spark, d), "ii", "close").select("event", r("before").alias("before"), r("after").alias("after"))
+    return evt.as_of(demo.splits(spark, d), demo.bars(spark, d), "ii", "close").select("event", r("before", 9).alias("before"), r("after", 9).alias("after"))
 
 
 @register(f"WITH {S_LINES}, {B_LINES}, p AS (SELECT event, ii, ratio, (SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date) / nullif((SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date), 0) AS j FROM splits s) SELECT event, CASE WHEN j IS NULL THEN true ELSE abs(ln(j)) <= abs(ln(j / ratio)) END AS vendor_applied FROM p")
@@ -452,20 +449,58 @@ def reverse_cumprod(spark, d):
     return _cells(frame.withColumn("y", ts.future_product("_f")), "y")
 
 
-@register("SELECT c.c_custkey, n.n_name AS nation, coalesce(s.s_name, 'none') AS supplier FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN supplier s ON replace(s.s_name, 'Supplier#', 'X-') = replace(replace(c.c_name, 'Customer#', 'X.'), '.', '-')")
+#: Constituents are customers, the exchange's list is the suppliers, filings are nations by turns; keys differ in their separators.
+REF = """cons AS (SELECT c_custkey, 'K.' || c_custkey AS sym, c_name AS sec, ['Energy', 'Materials', 'Utilities'][c_nationkey % 3 + 1] AS sector, c_mktsegment AS sub, CASE WHEN c_custkey % 10 = 0 THEN 'soon' WHEN c_custkey % 10 = 1 THEN NULL ELSE '03/' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') || '/2001' END AS added, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::VARCHAR ELSE '' END AS cik FROM customer),
+lst AS (SELECT 'K-' || s_suppkey AS k, s_name AS nm, chr(CAST(65 + s_nationkey AS INTEGER)) AS ex, CASE WHEN s_suppkey % 5 = 0 THEN 'Y' ELSE 'N' END AS etf, CASE WHEN s_suppkey % 7 = 0 THEN 'D' ELSE 'N' END AS st FROM supplier),
+fil AS (SELECT 'K-' || c_custkey AS k, lpad((c_custkey + c_custkey % 2)::VARCHAR, 10, '0') AS cik FROM customer WHERE c_custkey % 3 <> 0),
+jn AS (SELECT replace(c.sym, '.', '-') AS ticker_yahoo, c.sym AS ticker_sp, coalesce(l.nm, c.sec) AS name, coalesce(l.ex, '') AS exchange, CASE WHEN c.cik <> '' THEN lpad(c.cik, 10, '0') ELSE coalesce(f.cik, '') END AS cik, c.sector AS gics_sector,
+  CASE l.etf WHEN 'Y' THEN 1 WHEN 'N' THEN 0 END AS is_etf, coalesce(l.st, '') AS financial_status, CASE WHEN c_custkey % 10 > 1 THEN '2001-03-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') END AS added,
+  l.k IS NULL AS no_listing, f.k IS NULL AS no_filing, coalesce(c.cik <> '' AND lpad(c.cik, 10, '0') <> f.cik, false) AS cik_mismatch, c_custkey % 10 = 0 AS date_unparseable
+  FROM cons c LEFT JOIN lst l ON l.k = replace(c.sym, '.', '-') LEFT JOIN fil f ON f.k = replace(c.sym, '.', '-'))"""
+
+
+def _reference(spark, d):
+    from crosstide.plans import ingest
+
+    c, sup = demo.table(spark, d, "customer"), demo.table(spark, d, "supplier")
+    key, at = F.col("c_custkey"), F.col("c_custkey") % 10
+    text = lambda x: x.cast("string")
+    constituents = c.select(
+        F.concat(F.lit("K."), text(key)).alias("Symbol"), F.col("c_name").alias("Security"), F.element_at(F.array(F.lit("Energy"), F.lit("Materials"), F.lit("Utilities")), (F.col("c_nationkey") % 3 + 1).cast("int")).alias("GICS Sector"), F.col("c_mktsegment").alias("GICS Sub-Industry"),
+        F.when(at == 0, "soon").when(at > 1, F.concat(F.lit("03/"), F.lpad(text(key % 28 + 1), 2, "0"), F.lit("/2001"))).alias("Date added"), F.when(key % 4 != 0, text(key)).otherwise("").alias("CIK"),
+    )
+    listed = sup.select(
+        F.concat(F.lit("K."), text(F.col("s_suppkey"))).alias("NASDAQ Symbol"), F.lit("").alias("CQS Symbol"), F.lit("k").alias("Symbol"), F.col("s_name").alias("Security Name"), F.chr(F.lit(65) + F.col("s_nationkey")).alias("Listing Exchange"),
+        F.when(F.col("s_suppkey") % 5 == 0, "Y").otherwise("N").alias("ETF"), F.lit(100).alias("Round Lot Size"), F.when(F.col("s_suppkey") % 7 == 0, "D").otherwise("N").alias("Financial Status"),
+    )
+    filings = c.where("c_custkey % 3 <> 0").select(F.concat(F.lit("K-"), text(key)).alias("ticker"), (key + key % 2).alias("cik"))
+    return ingest.join_reference(constituents, listed, filings)
+
+
+@register(q(REF, "SELECT * FROM jn"))
 def ref_join_normalised(spark, d):
-    c, n, sup = (demo.table(spark, d, t) for t in ("customer", "nation", "supplier"))
-    left = c.withColumn("key", s.fold_symbol(F.replace("c_name", F.lit("Customer#"), F.lit("X."))))
-    right = sup.select(s.fold_symbol(F.replace("s_name", F.lit("Supplier#"), F.lit("X-"))).alias("key"), "s_name")
-    out = left.join(right, "key", "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return out.select("c_custkey", F.col("n_name").alias("nation"), F.coalesce("s_name", F.lit("none")).alias("supplier"))
+    """Constituents with listings and identifiers: folded keys, checked identifiers, mismatches as columns."""
+    out = _reference(spark, d)
+    return out.select("ticker_yahoo", "ticker_sp", "name", "exchange", "cik", "gics_sector", F.col("is_etf").cast("int").alias("is_etf"), "financial_status", F.col("sp500_date_added").cast("string").alias("added"), "no_listing", "no_filing", "cik_mismatch", "date_unparseable")
+
+
+@register(q(REF, "SELECT 'no_listing' AS \"check\", count(*) AS n FROM jn WHERE no_listing HAVING count(*) > 0 UNION ALL SELECT 'no_filing', count(*) FROM jn WHERE no_filing HAVING count(*) > 0 UNION ALL SELECT 'cik_mismatch', count(*) FROM jn WHERE cik_mismatch HAVING count(*) > 0 UNION ALL SELECT 'cik_missing', count(*) FROM jn WHERE cik = '' HAVING count(*) > 0 UNION ALL SELECT 'date_unparseable', count(*) FROM jn WHERE date_unparseable HAVING count(*) > 0 UNION ALL SELECT 'etf', count(*) FROM jn WHERE is_etf = 1 HAVING count(*) > 0 UNION ALL SELECT 'financial_status', count(*) FROM jn WHERE financial_status NOT IN ('N', '') HAVING count(*) > 0"))
+def ref_join_report(spark, d):
+    """The join's verification: how many rows each check finds."""
+    from crosstide.plans import ingest
 
+    return ingest.reference_report(_reference(spark, d)).select("check", "n")
 
-@register("SELECT CAST(o_orderdate AS DATE)::VARCHAR AS date, count(*) AS orders FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
+
+@register("SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, CAST(len(list_distinct(list(l_suppkey))) AS INTEGER) AS symbols FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders) GROUP BY 1")
 def anti_off_axis(spark, d):
-    orders = demo.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
-    axis = demo.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.to_date("l_shipdate").alias("date")).distinct()
-    return orders.join(axis, "date", "left_anti").groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("orders"))
+    """Shipments as events against the sessions of orders: the dates off the axis and their symbols."""
+    from crosstide.plans import ingest
+
+    events = demo.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("ex_date"), F.col("l_suppkey").alias("symbol"))
+    sessions = demo.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    _, strangers = ingest.off_axis(events, sessions)
+    return strangers.select(F.col("ex_date").cast("string").alias("date"), F.size("symbols").alias("symbols"))
 
 
 @register(q(EV + ", f AS (SELECT ii, min(di) AS a FROM ev GROUP BY ii), s AS (SELECT DISTINCT di FROM ev)", "SELECT s.di, f.ii FROM s JOIN f ON f.a <= s.di"))
@@ -485,28 +520,70 @@ def id_registry_append(spark, d):
     return evt.register(old, customer, ["key"], [F.col("c_acctbal"), F.col("key")]).select("key", "security_id")
 
 
-JUMPS = SPG + ", j AS (SELECT ii, di, ret FROM spg WHERE abs(ret) > 0.25 AND NOT EXISTS (SELECT 1 FROM splits s WHERE s.ii = spg.ii AND date_diff('month', DATE '1995-01-01', s.ex_date) = spg.di))"
+#: Daily bars of all suppliers; events are the orders of customers who stand for them.
+DAY = f"{S_LINES}, {B_LINES}"
+JUMPS = DAY + ", rets AS (SELECT ii, date, close / nullif(lag(close) OVER (PARTITION BY ii ORDER BY date), 0) - 1 AS r FROM bars), j AS (SELECT ii, date, r FROM rets WHERE abs(r) > 0.4 AND NOT EXISTS (SELECT 1 FROM splits s WHERE s.ii = rets.ii AND s.ex_date = rets.date))"
 
 
 def _jumps(spark, d):
-    months = demo.splits(spark, d).select("ii", F.floor(F.months_between(F.trunc("ex_date", "month"), F.lit("1995-01-01"))).cast("int").alias("di")).distinct()
-    return demo.sp_grid(spark, d).where(F.abs("ret") > 0.25).join(months, ["ii", "di"], "left_anti")
+    from crosstide.plans import ingest
+
+    bars = demo.bars(spark, d).withColumns({"raw_close": F.col("close"), "adj_factor": F.lit(1.0), "adjclose": F.col("close")})
+    return ingest.unexplained_jumps(ingest.returns(bars, "ii"), demo.splits(spark, d), "ii")
 
 
-@register(f"WITH {S_LINES}, {JUMPS} SELECT di, ii, {rs('ret', 'ret')} FROM j")
+@register(f"WITH {JUMPS} SELECT ii, CAST(date AS VARCHAR) AS date, {rs('r', 'r')} FROM j")
 def jump_detect(spark, d):
-    return _cells(_jumps(spark, d), "ret")
+    """Returns beyond 40% on days without an event."""
+    return _jumps(spark, d).select("ii", F.col("date").cast("string").alias("date"), r("r_own").alias("r"))
 
 
-@register(f"WITH {S_LINES}, {JUMPS} SELECT ii, count(*) AS n_jumps, min(di) AS first, max(di) AS last FROM j GROUP BY ii HAVING count(*) >= 2")
+@register(f"WITH {JUMPS} SELECT ii, count(*) AS n_jumps, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM j GROUP BY ii HAVING count(*) >= 2")
 def suspects_having(spark, d):
-    out = _jumps(spark, d).groupBy("ii").agg(F.count(F.lit(1)).alias("n_jumps"), F.min("di").cast("int").alias("first"), F.max("di").cast("int").alias("last"))
-    return out.where("n_jumps >= 2")
+    from crosstide.plans import ingest
+
+    return ingest.suspects(_jumps(spark, d), "ii").select("ii", "n_jumps", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
+
+
+@register(f"WITH {DAY}, vend AS (SELECT ii, date, close, close * (1 + (ii % 3) / 1000.0 * (day(date) % 2)) AS adjclose FROM bars), gaps AS (SELECT ii, date, abs(close / nullif(lag(close) OVER w, 0) - adjclose / nullif(lag(adjclose) OVER w, 0)) AS g FROM vend WINDOW w AS (PARTITION BY ii ORDER BY date)) SELECT ii, {rs('max(g)', 'worst_gap')} FROM gaps GROUP BY ii HAVING max(g) > 1e-4")
+def vendor_divergence(spark, d):
+    """The worst gap between our returns and a vendor's that drift by the day."""
+    from crosstide.plans import ingest
+
+    drift = 1 + (F.col("ii") % 3) / 1000.0 * (F.dayofmonth("date") % 2)
+    bars = demo.bars(spark, d).withColumns({"raw_close": F.col("close"), "adj_factor": F.lit(1.0), "adjclose": F.col("close") * drift})
+    return ingest.vendor_divergence(ingest.returns(bars, "ii"), "ii").select("ii", r("worst_gap").alias("worst_gap"))
+
+
+@register(f"WITH {DAY}, dv AS (SELECT ii, ex_date AS date, max(ratio - 1) AS amount FROM splits GROUP BY 1, 2), sx AS (SELECT ii, ex_date AS date, product(1 / ratio) AS f FROM splits GROUP BY 1, 2), st AS (SELECT b.ii, b.date, coalesce(sx.f, 1) * coalesce(CASE WHEN dv.amount IS NOT NULL THEN 1 - dv.amount / nullif(lag(b.close) OVER (PARTITION BY b.ii ORDER BY b.date), 0) END, 1) AS step FROM bars b LEFT JOIN sx ON sx.ii = b.ii AND sx.date = b.date LEFT JOIN dv ON dv.ii = b.ii AND dv.date = b.date) SELECT ii, CAST(date AS VARCHAR) AS date, {rs('coalesce(product(step) OVER (PARTITION BY ii ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)', 'adj_factor')} FROM st")
+def adjustment_factor(spark, d):
+    """Backward factors from splits and dividends that fall on bars."""
+    from crosstide.plans import ingest
+
+    splits = demo.splits(spark, d)
+    dividends = splits.select("ii", "ex_date", (F.col("ratio") - 1).alias("amount"))
+    bars = demo.bars(spark, d).withColumns({"raw_close": F.col("close"), "split_cum": F.lit(1.0)})
+    out = ingest.adjustment_factor(bars, splits, dividends, "ii")
+    return out.select("ii", F.col("date").cast("string").alias("date"), r("adj_factor").alias("adj_factor"))
+
+
+@register(f"WITH {DAY}, ap AS (SELECT event, ii, ex_date, ratio, (SELECT max_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date < s.ex_date) / nullif((SELECT min_by(close, date) FROM bars b WHERE b.ii = s.ii AND b.date >= s.ex_date), 0) AS jp FROM splits s), ok AS (SELECT ii, ex_date, ratio FROM ap WHERE jp IS NULL OR abs(ln(jp)) <= abs(ln(jp / ratio))), ct AS (SELECT b.ii, b.date, b.close, coalesce((SELECT product(ratio) FROM ok WHERE ok.ii = b.ii AND ok.ex_date > b.date), 1) AS f FROM bars b) SELECT ii, CAST(date AS VARCHAR) AS date, {rs('f', 'split_cum')}, {rs('ln(close * f)', 'log_raw_close', 9)} FROM ct")
+def split_reconstruct(spark, d):
+    """Raw prices: quotes times the splits after them that the vendor applied."""
+    from crosstide.plans import ingest
+
+    bars = demo.bars(spark, d).withColumns({c: F.col("close") for c in ("open", "high", "low")} | {"volume": F.lit(1000)})
+    out, _ = ingest.reconstruct(bars, demo.splits(spark, d), "ii")
+    return out.select("ii", F.col("date").cast("string").alias("date"), r("split_cum").alias("split_cum"), r(F.log("raw_close"), 9).alias("log_raw_close"))
 
 
 @register(q(EV, "SELECT ii, count(*) AS n_sessions, min(di) AS first_session, max(di) AS last_session FROM ev GROUP BY ii"))
 def coverage(spark, d):
-    return demo.ev(spark, d).groupBy("ii").agg(F.count(F.lit(1)).alias("n_sessions"), F.min("di").cast("int").alias("first_session"), F.max("di").cast("int").alias("last_session"))
+    from crosstide.plans import ingest
+
+    e = demo.ev(spark, d).withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("di")))
+    out = ingest.coverage(e.drop("di"), e.select("di", "date").distinct(), "ii")
+    return out.select("ii", "n_sessions", F.col("first_session").cast("int").alias("first_session"), F.col("last_session").cast("int").alias("last_session"))
 
 
 THIN = "cnt AS (SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY 1), med AS (SELECT median(n) * 0.5 AS h FROM cnt)"
@@ -536,14 +613,27 @@ def epoch_to_ny_date(spark, d):
     return events.select("event_id", s.market_date("epoch").cast("string").alias("ny_date"), s.utc_date("epoch").cast("string").alias("utc_date"))
 
 
-@register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@register("SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, (round(sum(l_extendedprice), 2) + 0.0) AS close, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY 1, 2")
 def json_parse(spark, d):
-    return demo.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Vendor charts, one JSON payload per supplier, back to bars."""
+    from crosstide.sources import vendor
 
+    items = demo.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_extendedprice").alias("x"), F.sum("l_quantity").cast("long").alias("v"))
+    day = F.struct((F.unix_date("date").cast("long") * 86400 + 15 * 3600).alias("t"), F.round("x", 4).alias("x"), F.col("v"))
+    series = items.groupBy("symbol").agg(F.array_sort(F.collect_list(day)).alias("s"))
+    quote = F.struct(F.col("s.x").alias("open"), F.col("s.x").alias("high"), F.col("s.x").alias("low"), F.col("s.x").alias("close"), F.col("s.v").alias("volume"))
+    chart = F.struct(F.struct(F.lit(None).cast("string").alias("error"), F.array(F.struct(F.struct("symbol").alias("meta"), F.col("s.t").alias("timestamp"), F.struct(F.array(quote).alias("quote"), F.array(F.struct(F.col("s.x").alias("adjclose"))).alias("adjclose")).alias("indicators"))).alias("result")).alias("chart"))
+    bars = vendor.bars(vendor.parse_charts(series.select("symbol", F.to_json(chart).alias("payload"))))
+    return bars.select("symbol", F.col("date").cast("string").alias("date"), r("close", 2).alias("close"), "volume")
 
-@register("SELECT p_partkey, levenshtein(p_name, 'small ring') AS distance FROM part")
+
+@register("SELECT n_name, CAST(levenshtein(n_name, 'NATION_17') AS INTEGER) AS distance FROM nation")
 def levenshtein_suggest(spark, d):
-    return demo.table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("small ring")).alias("distance"))
+    """The preflight's edit distance, by which it shows how far a suggestion is."""
+    from crosstide.plans import preflight
+
+    names = [x["n_name"] for x in demo.table(spark, d, "nation").select("n_name").collect()]  # 25 names
+    return spark.createDataFrame([(n, preflight.distance(n, "NATION_17")) for n in names], "n_name string, distance int")
 
 
 @register("SELECT p_partkey, translate(p_name || '|' || p_type || chr(10), '|' || chr(13) || chr(10), '   ') AS field, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS cik, printf('%.6f', p_retailprice) AS price, p_partkey || '|' || p_name || '|' || p_size AS line FROM part")
@@ -568,7 +658,9 @@ def key_collisions(spark, d):
     return evt.colliding_keys(demo.table(spark, d, "part"), "p_name")
 
 
-@register("SELECT n_name, CAST(CASE n_name WHEN 'none' THEN 1 END AS TINYINT) AS code, CAST(len(n_name) AS INTEGER) AS size FROM nation")
+@register("SELECT n_nationkey, (n_nationkey % 12 + 1) AS k, CAST([10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60][CAST(n_nationkey % 12 + 1 AS INTEGER)] AS TINYINT) AS code FROM nation")
 def sector_codes(spark, d):
-    n = demo.table(spark, d, "nation")
-    return n.select("n_name", s.sector_code("n_name").alias("code"), F.length("n_name").alias("size"))
+    """Sector names by turns, a twelfth of them unknown, to their codes."""
+    names = F.array(*[F.lit(n) for n in [*s.SECTOR_CODES, "Unknown"]])
+    n = demo.table(spark, d, "nation").withColumn("k", F.col("n_nationkey") % 12 + 1)
+    return n.select("n_nationkey", "k", s.sector_code(F.element_at(names, F.col("k").cast("int"))).alias("code"))

@@ -5,12 +5,16 @@ ev: users by day of events. sp: suppliers by month of shipped lineitems.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import safe_div
 from crosstide.operators import cross_section as cs
 from crosstide.operators import time_series as ts
+from crosstide.sources import files
+from crosstide.sources.panels import MemoryPanels
 
 POOL = 100
 BOOK = 1e6
@@ -37,7 +41,11 @@ def sp(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dense(panel: DataFrame) -> DataFrame:
-    """The panel on all of its sessions for all of its names."""
+    """The panel on all of its sessions for all of its names.
+
+    The panel, far smaller than its source, is written once: its extent, its names and its cells then come from it.
+    """
+    panel = files.written(panel, "panel")
     last = panel.agg(F.max("di").alias("last"))
     names = panel.select("ii").distinct().crossJoin(F.broadcast(last))  # one row
     return names.select(F.explode(F.sequence(F.lit(0), "last")).alias("di"), "ii").join(panel, ["di", "ii"], "left")
@@ -74,17 +82,47 @@ def sp_daily(spark: SparkSession, folder: str) -> DataFrame:
     from crosstide.operators import ledger
 
     cells = ledger.fast_cells(sp_book(spark, folder), BOOK, 10.0)
-    counts = cells.groupBy("di").agg(F.avg("ret").alias("market_ret"), F.sum((F.col("pos") > 0).cast("int")).alias("long_count"), F.sum((F.col("pos") < 0).cast("int")).alias("short_count"))
-    return ledger.fast_daily(cells, BOOK).join(counts, "di").withColumn("trading_pnl", F.lit(0.0)).withColumn("date", F.add_months(F.lit("1995-01-01").cast("date"), F.col("di")))
+    more = [F.avg("ret").alias("market_ret"), F.sum((F.col("pos") > 0).cast("int")).alias("long_count"), F.sum((F.col("pos") < 0).cast("int")).alias("short_count")]
+    daily = ledger.fast_daily(cells, BOOK, more=more)
+    dated = daily.withColumn("trading_pnl", F.lit(0.0)).withColumn("date", F.add_months(F.lit("1995-01-01").cast("date"), F.col("di")))
+    # A row per session: what reads it several times does not run the book again.
+    return files.written(dated.coalesce(1), "daily")
+
+
+#: References of the panels of events' values and counts.
+EV_X, EV_N = "g_demo.field_demo_ev.x", "g_demo.field_demo_ev.n"
+
+
+def ev_panels(spark: SparkSession, folder: str) -> MemoryPanels:
+    """ev as panels over views, on axes of its days and names."""
+    e = ev(spark, folder).withColumn("ii", F.col("ii").cast("int"))
+    last = e.agg(F.max("di")).first()[0]
+    days = [str(date(2024, 1, 1) + timedelta(k)) for k in range(last + 1)]
+    out = MemoryPanels(spark, days, [x["ii"] for x in e.select("ii").distinct().orderBy("ii").collect()])  # the axis
+    for ref, column in ((EV_X, "x"), (EV_N, "n")):
+        out.write(ref, e.select("di", "ii", F.col(column).cast("double").alias("value")), dtype="f8", sessions=(0, last))
+    return out
+
+
+def run_panels(spark: SparkSession, folder: str) -> MemoryPanels:
+    """What the demonstration's nodes read: ev, its daily mean, a pool and groups."""
+    out = ev_panels(spark, folder)
+    whole = (0, out.axes.n_sessions - 1)
+    pool = ev_pool(spark, folder)
+    out.write("g_demo.field_demo_mkt.mean", out.read(EV_X).groupBy("di").agg(F.avg("value").alias("value")), dims=("di",), dtype="f8", sessions=whole)
+    out.write("g_demo.field_demo_pool.top", pool.select("di", "ii", F.col("in_pool").alias("value")), dtype="bool", sessions=whole)
+    out.write("g_demo.factor_demo_group.g", pool.select("di", "ii", F.coalesce(F.col("g") + 1, F.lit(0)).alias("value")), dtype="i1", sessions=whole)
+    return out
 
 
 def splits(spark: SparkSession, folder: str) -> DataFrame:
-    """(ii, ex_date, ratio, order): orders as split events of suppliers, sparse, ratios near 1 to 3."""
-    orders = table(spark, folder, "orders").where("o_orderkey % 97 = 0")  # every so manieth order is an event: the events' definition
-    return orders.select((F.col("o_orderkey") % 100).alias("ii"), F.to_date("o_orderdate").alias("ex_date"), (1 + F.col("o_orderkey") % 5 / 2).cast("double").alias("ratio"), F.col("o_orderkey").alias("event"))
+    """(ii, ex_date, ratio, event): every order as a split of the supplier that its customer stands for, ratios 1 to 1.08."""
+    suppliers = table(spark, folder, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, folder, "orders").crossJoin(F.broadcast(suppliers))  # one row
+    return orders.select((F.col("o_custkey") % F.col("n")).alias("ii"), F.to_date("o_orderdate").alias("ex_date"), (1 + F.col("o_orderkey") % 5 / 50).cast("double").alias("ratio"), F.col("o_orderkey").alias("event"))
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """(ii, date, close): the mean price by day of suppliers whose key is below 100."""
-    items = table(spark, folder, "lineitem").where("l_suppkey < 100")
+    """(ii, date, close): the mean price by day and supplier."""
+    items = table(spark, folder, "lineitem")
     return items.groupBy(F.col("l_suppkey").alias("ii"), F.to_date("l_shipdate").alias("date")).agg(safe_div(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("close"))

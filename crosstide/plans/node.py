@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import importlib.util
 import time
+import types
 import warnings
 from collections.abc import Iterator
 from pathlib import Path
@@ -18,14 +18,20 @@ from crosstide.operators import cross_section as cs
 from crosstide.plans import freshness, naming, project
 from crosstide.plans.config import NodeSpec, Spec
 from crosstide.plans.ctx import Ctx, DayCtx, Lookback, Value, _column
+from crosstide.sources import files
 from crosstide.sources.panels import FILLS, TYPES, Panels, StoreError
 
 
 def load_module(path: Path):
     """A fresh module of the handle's file."""
-    found = importlib.util.spec_from_file_location(f"_node_{path.stem}", path)
-    module = importlib.util.module_from_spec(found)
-    found.loader.exec_module(module)
+    return module_of(path.read_text(), path)
+
+
+def module_of(source: str, path: Path):
+    """A module from its text: tasks get the text, as other machines do not see the file."""
+    module = types.ModuleType(f"_node_{path.stem}")
+    module.__file__ = str(path)
+    exec(compile(source, str(path), "exec"), module.__dict__)  # noqa: S102  the user's own code
     return module
 
 
@@ -136,7 +142,7 @@ def _by_day(panels: Panels, spec: Spec, node: NodeSpec, frame: DataFrame, column
     split by; the task holds the node's inputs for the requested sessions.
     """
     names, dates, code = panels.axes.securities, panels.axes.sessions[i0:i1], node.code
-    keys = list(node.outputs)
+    keys, source = list(node.outputs), node.code.read_text()
     has_pool = bool(spec.universe)
     if any(o.rank == 3 for o in node.outputs.values()):
         raise ValueError(f"{node.name}: three dims are for plans")
@@ -155,7 +161,7 @@ def _by_day(panels: Panels, spec: Spec, node: NodeSpec, frame: DataFrame, column
         for ref, (_, rank) in own.items():
             data[ref] = np.full((t_n, n) if rank == 2 else t_n, np.nan)
         ctx = DayCtx(node, list(range(i0, i1)), dates, names, data, pool)
-        module = load_module(code)
+        module = module_of(source, code)
         if hasattr(module, "init"):
             module.init(ctx)
         last = None
@@ -214,6 +220,10 @@ def run_node(panels: Panels, spec: Spec, node: NodeSpec, sd: str, ed: str, *, re
     warm = node.history(spec.lookback)
     i0 = max(0, first - warm)
     frame, columns, flags = plan_node(panels, spec, node, i0, last + 1)
+    if len(columns) > 1 and not probe:
+        # One pass for all outputs, which are then panels of one table.
+        keep = ["di", "ii", *columns.values(), *(f for names in flags.values() for f in names)]
+        frame = files.written(frame.where(F.col("di") >= first).select(*keep), "outputs")
     deps, written, empty = resolve_deps(panels, node), {}, []
     for k, column in columns.items():
         panel = output_panel(frame, node, k, column, first)

@@ -264,7 +264,8 @@ class MemoryPanels(_Common):
         ref = str(parse_ref(str(ref)))
         if fingerprint and not rebuild:
             self.check_fingerprint(ref, fingerprint)
-        made = _typed(df, list(dims), dtype)
+        # Written once: checks, metadata and readers would else run the plan behind it each time.
+        made = files.written(_typed(df, list(dims), dtype), "panel")
         sessions = _check_range(self.axes, made, list(dims), sessions, ref)
         old = self._meta.get(ref, {})
         covered = made.agg(F.countDistinct("ii")).first()[0] if "ii" in dims else 0
