@@ -2,10 +2,12 @@
 
 Only the histogram of piece lengths (at most one entry per length up to the
 capacity) reaches the driver. On it the linear grouping scheme runs: lengths
-above a share of the capacity are cut into groups of equal cardinality and
+above a share of the capacity are cut into few groups of equal cardinality and
 rounded up to the longest of their group; configurations over these few sizes
-are chosen to fill sequences; actual lengths take the places of the rounded
-ones; and short pieces go by best fit into the gaps that remain. The plan says
+are optimised by the linear programme of least lost room, whose columns are
+generated by a knapsack; actual lengths take the places of the rounded ones; and
+the rest and all short pieces go by best fit into the gaps that remain, where a
+gap's last one to three pieces are such that they fill it, if there are any. The plan says
 which ranks of which length go to which sequences at which offset. Its size
 depends on lengths and groups, not on the number of documents. Pieces are
 numbered within their length in salted parts, so that no length, however
@@ -17,7 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,8 +32,12 @@ from crosstide.llm._common import small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Schemes that are tried: the number of groups, and the share of the capacity above which a length is large.
-SCHEMES = [(groups, share) for groups in (64, 512, 4096) for share in (4, 8)]
+#: Groups of large lengths at most, pieces that a group holds at least, and the shares of the capacity above which a length is large that are tried.
+GROUPS, GROUP_PIECES, SHARES = 64, 8, (4, 3, 2)
+#: Share of the short pieces that are shorter than a gap that counts as usable.
+USABLE = 0.2
+#: Columns at most that the linear programme is given; further ones would hardly change its optimum.
+COLUMNS = 1500
 CACHE_ENTRIES = 1 << 19
 RANKED_TOGETHER = 2000
 
@@ -122,30 +128,118 @@ class _Plan:
             self.runs[gap] = []
         self.runs[gap].append((first, count))
 
+    def take(self, gap: int) -> tuple[int, int] | None:
+        """Some of the sequences with this gap: (first sequence, count)."""
+        runs = self.runs.get(gap)
+        if not runs:
+            return None
+        out = runs.pop()
+        if not runs:
+            del self.runs[gap], self.gaps[bisect_left(self.gaps, gap)]
+        return out
+
+
     def fit(self, length: int, count: int) -> None:
         """Best fit: each piece goes into the smallest gap that holds it, or opens sequences."""
         while count:
-            i = bisect_left(self.gaps, length)
-            if i == len(self.gaps):
-                each = min(self.capacity // length, count)
-                full = count // each
+            at = bisect_left(self.gaps, length)
+            if at < len(self.gaps):
+                gap = self.gaps[at]
+                first, n = self.take(gap)
+            else:
+                gap, first, n = self.capacity, self.bins, count
+                self.bins += n
+            t = min(n, count)
+            if gap == self.capacity:  # as many side by side as a new sequence holds
+                each = min(gap // length, count)
+                t = count // each
                 for k in range(each):
-                    self.place(length, self.bins, k * length, full)
-                self.leave(self.capacity - each * length, self.bins, full)
-                self.bins += full
-                count -= each * full
+                    self.place(length, first, k * length, t)
+                self.leave(gap - each * length, first, t)
+                count -= t * each
+                self.bins -= n - t
                 continue
-            gap = self.gaps[i]
-            first, n = self.runs[gap].pop()
-            if not self.runs[gap]:
-                del self.runs[gap], self.gaps[i]
-            t = min(n, count)
             self.place(length, first, self.capacity - gap, t)
             self.leave(gap - length, first, t)
             self.leave(gap, first + t, n - t)
             count -= t
 
 
+class _Stock:
+    """Lengths with their counts that are still to be placed."""
+
+    #: Longest lengths that are tried as the first of three.
+    FIRSTS = 32
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = dict(counts)
+        self.lengths = sorted(counts)
+        self.has = np.zeros(capacity + 1, bool)
+        self.has[self.lengths] = True
+
+    def use(self, length: int, n: int) -> None:
+        self.left[length] -= n
+        if not self.left[length]:
+            del self.left[length], self.lengths[bisect_left(self.lengths, length)]
+            self.has[length] = False
+
+    def pair(self, gap: int) -> list[int]:
+        """Two lengths that fill the gap, the shorter one as long as can be: the shortest pieces fill the last gaps."""
+        for a in np.flatnonzero(self.has[: gap // 2 + 1] & self.has[gap - gap // 2 : gap + 1][::-1])[:-3:-1].tolist():
+            if 2 * a != gap or self.left[a] > 1:
+                return [gap - a, a]
+        return []
+
+    def best(self, gap: int) -> list[int]:
+        """What goes into a gap next: one, two or three lengths that fill it, else the longest that fits."""
+        if self.has[gap]:
+            return [gap]
+        at = bisect_right(self.lengths, gap)
+        if not at:
+            return []
+        longest = self.lengths[at - 1]
+        if gap <= 3 * longest:
+            if gap <= 2 * longest and (found := self.pair(gap)):
+                return found
+            for a in self.lengths[max(0, at - self.FIRSTS) : at][::-1]:
+                found = self.pair(gap - a)
+                if found and self.left[a] > found.count(a):
+                    return [a, *found]
+        return [longest]
+
+
+def _fill(plan: _Plan, counts: dict[int, int]) -> None:
+    """Best fit of the short pieces: into the largest gaps first, then into new sequences."""
+    stock = _Stock(counts, plan.capacity)
+    tried = plan.capacity + 1
+    while stock.left:
+        at = bisect_left(plan.gaps, tried) - 1
+        if at >= 0:
+            gap = plan.gaps[at]
+            first, n = plan.take(gap)
+        else:
+            # Each new sequence holds the longest piece that is left at least.
+            tried, gap, first = plan.capacity + 1, plan.capacity, plan.bins
+            n = max(1, stock.left[stock.lengths[-1]] // max(1, plan.capacity // stock.lengths[-1]))
+            plan.bins += n
+        chosen = stock.best(gap)
+        if not chosen:
+            plan.leave(gap, first, n)
+            tried = gap  # nothing fits into smaller gaps either
+            if at >= 0 and stock.lengths[0] > gap:
+                tried = 0
+            continue
+        tried = plan.capacity + 1
+        t = min(n, *(stock.left[c] // chosen.count(c) for c in chosen))
+        plan.leave(gap, first + t, n - t)
+        offset = plan.capacity - gap
+        for c in chosen:
+            plan.place(c, first, offset, t)
+            stock.use(c, t)
+            offset += c
+        plan.leave(plan.capacity - offset, first, t)
+
+
 def _groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     """Runs [length, count], longest first, cut into groups of equal cardinality."""
     total = sum(counts.values())
@@ -163,46 +257,91 @@ def _groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return [g for g in out if g]
 
 
-def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
-    """Multiplicities that hold the largest remaining size and fill the sequence best, larger sizes first."""
-    lead = next(i for i, n in enumerate(left) if n)
-    room = capacity - sizes[lead]
-    mask = (1 << (room + 1)) - 1
-    usable = [(i, min(left[i] - (i == lead), room // sizes[i])) for i in range(lead, len(sizes))]
-    usable = [(i, n) for i, n in usable if n > 0]
-    reach = [1]  # sums that the sizes from the smallest on can make, as bits
-    for i, n in reversed(usable):
-        bits, step = reach[-1], 1
-        while n:  # binary splitting of the multiplicity
-            t = min(step, n)
-            bits |= (bits << (t * sizes[i])) & mask
-            n, step = n - t, step * 2
-        reach.append(bits)
-    out = [0] * len(sizes)
-    out[lead] = 1
-    target = reach[-1].bit_length() - 1
-    for k, (i, n) in enumerate(usable):
-        below = reach[len(usable) - 1 - k]
-        t = min(n, target // sizes[i])
-        while not (below >> (target - t * sizes[i])) & 1:
-            t -= 1
-        out[i] += t
-        target -= t * sizes[i]
-    return out
-
-
-def _plan(counts: dict[int, int], capacity: int, groups: int, share: int) -> _Plan:
+def _knapsack(sizes: list[int], worth: np.ndarray, lost: np.ndarray) -> tuple[float, np.ndarray]:
+    """The configuration of greatest worth less the room that it loses: by the number of pieces, the best last piece for every load."""
+    capacity = len(lost) - 1
+    value, last = np.full(capacity + 1, -np.inf), []
+    value[0] = 0.0
+    for _ in range(capacity // min(sizes)):
+        better, piece = value.copy(), np.full(capacity + 1, -1)
+        for i, size in enumerate(sizes):
+            gain = value[:-size] + worth[i]
+            more = gain > better[size:] + 1e-12
+            better[size:][more] = gain[more]
+            piece[size:][more] = i
+        value = better
+        last.append(piece)
+    load = int((value - lost[::-1]).argmax())
+    best = float(value[load] - lost[capacity - load])
+    out = np.zeros(len(sizes))
+    for piece in reversed(last):
+        if piece[load] >= 0:
+            out[piece[load]] += 1
+            load -= sizes[piece[load]]
+    return best, out
+
+
+def _configurations(sizes: list[int], demand: list[int], capacity: int, usable: int) -> list[tuple[int, list[int]]]:
+    """(uses, multiplicities): configurations that cover the demand, as far as whole uses allow, and lose least room.
+
+    A configuration costs its load and its gap, if that is too narrow to be of use to
+    short pieces. The linear programme starts from configurations of one size; each
+    round the knapsack prices a better one, which replaces the one that it drives out.
+    """
+    m = len(sizes)
+    need, size = np.array(demand, float), np.array(sizes, float)
+    gaps = np.arange(capacity + 1)
+    lost = np.where(gaps < usable, gaps, 0) / capacity
+    cost = lambda column: column @ size / capacity + lost[capacity - int(column @ size)]
+    basis = np.diag([float(capacity // x) for x in sizes])
+    costs = np.array([cost(c) for c in basis.T])
+    for _ in range(COLUMNS):
+        inverse = np.linalg.inv(basis)
+        better, column = _knapsack(sizes, costs @ inverse - size / capacity, lost)
+        if better <= 1e-9:
+            break
+        uses, way = inverse @ need, inverse @ column
+        ratio = np.where(way > 1e-9, np.maximum(uses, 0) / np.where(way > 1e-9, way, 1), np.inf)
+        out = int(ratio.argmin())
+        if not np.isfinite(ratio[out]):
+            break
+        basis[:, out], costs[out] = column, cost(column)
+    uses = np.maximum(np.linalg.solve(basis, need), 0)
+    left, chosen = list(demand), []
+
+    def cover(column: list[int], times: int) -> None:
+        if times > 0:
+            chosen.append((times, column))
+            for i in range(m):
+                left[i] -= column[i] * times
+
+    for j in np.argsort(-uses, kind="stable"):
+        column = [int(x) for x in basis[:, j]]
+        cover(column, min(int(uses[j] + 1e-6), *(left[i] // n for i, n in enumerate(column) if n)))
+    return chosen
+
+
+def _usable(small: dict[int, int]) -> int:
+    """The gap from which short pieces are likely to fill it: the length that USABLE of them do not reach; 0 without any."""
+    total, seen = sum(small.values()), 0
+    for length in sorted(small):
+        seen += small[length]
+        if seen >= USABLE * total:
+            return length
+    return 0
+
+
+def _plan(counts: dict[int, int], capacity: int, share: int, scarce: bool) -> _Plan:
     plan = _Plan(capacity)
     large = {n: c for n, c in counts.items() if n > capacity // share}
-    stock = _groups(large, groups)
-    sizes = [g[0][0] for g in stock]
-    left = [sum(c for _, c in g) for g in stock]
-    while any(left):
-        chosen = _configuration(sizes, left, capacity)
-        times = min(left[i] // n for i, n in enumerate(chosen) if n)
+    stock = _groups(large, max(1, min(GROUPS, sum(large.values()) // GROUP_PIECES))) if large else []
+    sizes, demand = [g[0][0] for g in stock], [sum(c for _, c in g) for g in stock]
+    small = {n: c for n, c in counts.items() if n not in large}
+    # Where short pieces are scarce, gaps of any width are lost.
+    usable = capacity + 1 if scarce else _usable(small)
+    for times, chosen in _configurations(sizes, demand, capacity, usable) if stock else ():
         slots = []  # the actual runs that take each rounded place
         for i, n in enumerate(chosen):
-            left[i] -= n * times
             for _ in range(n):
                 need, runs = times, []
                 while need:
@@ -227,21 +366,34 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, share: int) -> _Pl
             plan.leave(capacity - offset, plan.bins + done, t)
             done += t
         plan.bins += times
-    for length in sorted(counts, reverse=True):
-        if length not in large:
-            plan.fit(length, counts[length])
+    # What whole uses leave of the large ones goes by best fit, too.
+    for length, n in sorted((run for group in stock for run in group), reverse=True):
+        plan.fit(length, n)
+    if scarce:  # each gap counts: all in order of length, into the narrowest gap
+        for length in sorted(small, reverse=True):
+            plan.fit(length, small[length])
+    else:
+        _fill(plan, small)
     return plan
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, first sequence, offset, count) by length and rank; the number of sequences.
 
-    The scheme runs with each of SCHEMES; the plan with the fewest sequences stands.
+    The scheme runs with each of SHARES and with programmes that do or do not count on
+    short pieces for the wider gaps, until a plan needs no more than the bound by
+    tokens; the best one stands.
     """
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError("lengths must be 1 to the capacity")
-    best = min((_plan(counts, capacity, *scheme) for scheme in SCHEMES), key=lambda p: p.bins)
-    return np.array(sorted(best.rows), np.int64).reshape(-1, 5), best.bins
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    plan = None
+    for share in SHARES:
+        for scarce in (False, True):
+            if plan is None or plan.bins > least:
+                made = _plan(counts, capacity, share, scarce)
+                plan = made if plan is None or made.bins < plan.bins else plan
+    return np.array(sorted(plan.rows), np.int64).reshape(-1, 5), plan.bins
 
 
 def rank_within_length(pieces: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:

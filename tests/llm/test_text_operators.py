@@ -101,6 +101,20 @@ def test_plan_is_whole_and_tight(kind):
     assert bins <= 1.02 * -(-int(lengths.sum()) // 4096) + 1 or kind == "halves"
 
 
+def test_plan_uses_few_sizes():
+    """Groups hold several pieces, configurations are of their few sizes, and the corpus still packs to the lower bound."""
+    rng = np.random.default_rng(6)
+    lengths = np.clip(np.exp(rng.normal(6.2, 1.1, 20_000)).astype(int) + 3, 1, 4096)
+    counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
+    large = {n: c for n, c in counts.items() if n > packing.CAPACITY // packing.SHARES[0]}
+    groups = packing._groups(large, packing.GROUPS)
+    sizes, demand = [g[0][0] for g in groups], [sum(c for _, c in g) for g in groups]
+    assert len(groups) <= packing.GROUPS and min(demand[:-1]) >= packing.GROUP_PIECES
+    chosen = packing._configurations(sizes, demand, packing.CAPACITY, 200)
+    assert [sum(t * c[i] for t, c in chosen) for i in range(len(sizes))] == demand and all(sum(n * x for n, x in zip(c, sizes)) <= packing.CAPACITY for _, c in chosen)
+    assert packing.plan_packing(counts)[1] == -(-int(lengths.sum()) // packing.CAPACITY)
+
+
 def test_packing_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 2)
     docs = odd(spark).unionByName(spark.createDataFrame([(100 + i, "same words " * (i % 7)) for i in range(60)], "doc_id bigint, text string"), allowMissingColumns=True)
