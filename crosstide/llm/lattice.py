@@ -2,21 +2,26 @@
 
 1. Vectors of finite components and some length are scaled to length 1; equal
    vectors are one class from here on.
-2. In each of TABLES tables a random projection to eight dimensions, shifted, is
-   decoded to the nearest E8 point: the vector's cell. The nearest of the 240
-   neighbouring cells are probed too.
+2. In each of several tables random projections to one or more blocks of eight
+   dimensions, shifted, are decoded to the nearest E8 points, which together are
+   the vector's cell. The nearest of the 240 neighbours of each point are probed
+   too. Blocks, cell size, probes and tables follow the number of vectors (design):
+   the more there are, the finer the cells, so that the pairs that a vector meets
+   by chance do not grow with the table.
 3. Within a cell all members are compared with one centre (linear in the cell).
    Pairs across the resulting components that meet in a cell or probe follow.
    128 random hyperplanes rule out pairs that are far apart, with a margin of
    over five standard deviations; the rest are verified by cosine in double.
 4. Links join vectors only within components, so each component is counted in
-   blocks, block against block: every link in it is counted, none is emitted.
+   blocks, each pair of blocks once for both sides: every link in it is counted,
+   none is emitted.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstide.llm._common import discard_since, mark, written
+from crosstide.llm._common import discard_since, mark, small_batches, written
 from crosstide.llm.components import components
 from crosstide.llm.shingles import mix
 
-TABLES, PROBES, CELL = 9, 8, 1.2
 SEED = 20240607
-BLOCK_ROWS = 256
+#: Chance at most that a pair at the threshold meets in no table.
+MISS = 0.001
+#: What design() chooses from: blocks of eight dimensions, cell sizes and probes of each block.
+BLOCKS, CELLS, PROBES = (1, 2, 3), (0.85, 1.0, 1.2, 1.5, 1.8, 2.2), (2, 4, 8)
+#: Pairs of simulated vectors by which it measures how often a pair at the threshold meets.
+SIMULATED = 6000
+#: Rows of a block of a component.
+BLOCK_ROWS = 1024
 
 
 @lru_cache(1)
@@ -63,30 +74,85 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], whole, half)
 
 
-def _key(points: np.ndarray, table: int, dims: int) -> np.ndarray:
+@dataclass(frozen=True)
+class Design:
+    blocks: int
+    cell: float
+    probes: int
+    tables: int
+
+
+def _nearest(offsets: np.ndarray, probes: int) -> np.ndarray:
+    """The neighbours (by number) to which each offset from its point leans most."""
+    return np.argpartition(-(offsets @ _neighbours().T), probes - 1, axis=1)[:, :probes]
+
+
+@lru_cache(64)
+def _meets(cell: float, probes: int, threshold: float) -> float:
+    """Chance that one block of two vectors at the threshold meets, by the cell of either among those that the other probes."""
+    rng = np.random.Generator(np.random.PCG64(SEED))
+    x = rng.random((SIMULATED, 8)) * 4
+    y = x + rng.normal(size=x.shape) * np.sqrt(max(2 - 2 * threshold, 0.0)) / cell
+    a, b = decode(x), decode(y)
+    met = (a == b).all(axis=1)
+    for own, other, offsets in ((a, b, x - a), (b, a, y - b)):
+        near = _nearest(offsets, probes)
+        for k in range(probes):
+            met |= (own + _neighbours()[near[:, k]] == other).all(axis=1)
+    return float(met.mean())
+
+
+def design(n: int, threshold: float) -> Design:
+    """The cheapest tables for n vectors that miss at most MISS of the pairs at the threshold.
+
+    The cost is what a vector makes: its cells and probes, and the pairs that it meets
+    by chance, which for vectors in unrelated directions are n times the density of
+    their difference at a cell of volume 1.
+    """
+    best = None
+    for blocks, cell, probes in itertools.product(BLOCKS, CELLS, PROBES):
+        meets = _meets(cell, probes, threshold) ** blocks
+        if meets < 1e-3:
+            continue
+        tables = int(np.ceil(np.log(MISS) / np.log1p(-min(meets, 0.999))))
+        spread = 2.0 / cell**2  # variance of a coordinate of the difference
+        chance = (2 * np.pi * spread) ** -4 * (1 + probes * np.exp(-1 / spread))
+        cost = tables * ((1 + probes) ** blocks + 2 * n * min(chance, 1.0) ** blocks)
+        if best is None or cost < best[0]:
+            best = (cost, Design(blocks, cell, probes, tables))
+    return best[1]
+
+
+def _key(points: np.ndarray, table: int, block: int, dims: int) -> np.ndarray:
     twice = np.rint(points * 2).astype(np.int64).view(np.uint64)
-    key = np.full(len(points), np.uint64(table * 4096 + 1) + np.uint64(dims) * np.uint64(1 << 32), np.uint64)
+    key = np.full(len(points), np.uint64(table * 4096 + block * 64 + 1) + np.uint64(dims) * np.uint64(1 << 32), np.uint64)
     for i in range(8):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + twice[:, i])
-    return key.view(np.int64)
+    return key
 
 
 @lru_cache(8)
-def _projections(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _projections(dims: int, tables: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(SEED + dims))
-    return rng.normal(size=(TABLES, dims, 8)), rng.random((TABLES, 8)), rng.normal(size=(dims, 128))
+    signs = rng.normal(size=(dims, 128))
+    return rng.normal(size=(tables, blocks, dims, 8)), rng.random((tables, blocks, 8)), signs
 
 
-def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own cells (n x TABLES), probed cells (n x TABLES * PROBES) and signs (n x 2) of unit vectors."""
-    planes, shifts, signs = _projections(unit.shape[1])
+def cells(unit: np.ndarray, plan: Design) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own cells (n x tables), probed cells (n x tables * probes) and signs (n x 2) of unit vectors."""
+    dims = unit.shape[1]
+    planes, shifts, signs = _projections(dims, plan.tables, plan.blocks)
     own, probed = [], []
-    for t in range(TABLES):
-        x = unit @ planes[t] / CELL + shifts[t]
-        point = decode(x)
-        own.append(_key(point, t, unit.shape[1]))
-        near = np.argpartition(-((x - point) @ _neighbours().T), PROBES, axis=1)[:, :PROBES]
-        probed += [_key(point + _neighbours()[near[:, k]], t, unit.shape[1]) for k in range(PROBES)]
+    for t in range(plan.tables):
+        choices = []
+        for b in range(plan.blocks):
+            x = unit @ planes[t, b] / plan.cell + shifts[t, b]
+            point = decode(x)
+            near = _nearest(x - point, plan.probes)
+            choices.append([_key(point, t, b, dims), *(_key(point + _neighbours()[near[:, k]], t, b, dims) for k in range(plan.probes))])
+        keys = [np.bitwise_xor.reduce([part * np.uint64(2 * b + 3) for b, part in enumerate(chosen)]).view(np.int64) for chosen in itertools.product(*choices)]
+        own.append(keys[0])
+        probed += keys[1:]
     bits = np.packbits(unit @ signs > 0, axis=1).view(np.int64)
     return np.column_stack(own), np.column_stack(probed), bits
 
@@ -112,7 +178,7 @@ def _unit(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
     return good, out
 
 
-def _hashed(vectors: DataFrame) -> DataFrame:
+def _hashed(vectors: DataFrame, plan: Design) -> DataFrame:
     """(id, unit: doubles as bytes, own, probes, s0, s1) of the vectors that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +189,7 @@ def _hashed(vectors: DataFrame) -> DataFrame:
             for dims in np.unique(sizes):
                 at = np.flatnonzero(sizes == dims)
                 x = np.stack([units[i] for i in at])
-                own, probed, bits = cells(x)
+                own, probed, bits = cells(x, plan)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(ids[at]), pa.int64()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(probed), pa.list_(pa.int64())), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
                     ["id", "unit", "own", "probes", "s0", "s1"],
@@ -149,33 +215,53 @@ def _apart(a0: Column, b0: Column, a1: Column, b1: Column) -> Column:
 
 
 def _link_counts(reps: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(id, others): for classes in components, the vectors of other classes that are linked with them."""
+    """(id, others): for classes in components, the vectors of other classes that are linked with them.
+
+    A component's classes are dealt into blocks; block i meets the blocks i to the last, and counts for both sides.
+    """
     inside = reps.select("id", "unit", "copies").join(labels, "id")
     sizes = labels.groupBy("label").agg(F.ceil(F.count("id") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = inside.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = placed.select("label", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("counted"), "id", "unit", "copies")
-    right = placed.select("label", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("counted"), "id", "unit", "copies")
-
-    def count(table: pa.Table) -> pa.Table:
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        role = table.column("counted").to_numpy()
-        units = [np.frombuffer(u) for u in table.column("unit").to_pylist()]
-        sizes = np.array([len(u) for u in units])
-        out_ids, out = [], []
-        for dims in np.unique(sizes):
-            a, b = np.flatnonzero(role & (sizes == dims)), np.flatnonzero(~role & (sizes == dims))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))
+    rows = placed.withColumn("m", F.explode(meets)).select("label", F.col("m.i").alias("i"), F.col("m.j").alias("j"), "block", "id", "unit", "copies")
+    # Pairs of blocks are dealt whole; a small component is one of them.
+    rows = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+
+    def counted(key: tuple[int, int, int], block: np.ndarray, ids: np.ndarray, units: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        vectors, out = [np.frombuffer(u) for u in units], np.zeros(len(ids), np.int64)
+        lengths = np.array([len(v) for v in vectors])
+        for dims in np.unique(lengths):
+            a, b = (np.flatnonzero((block == at) & (lengths == dims)) for at in key[1:])
             if not len(a) or not len(b):
                 continue
-            near = np.stack([units[k] for k in a]) @ np.stack([units[k] for k in b]).T >= threshold
-            near &= ids[a][:, None] != ids[b][None, :]
-            out_ids.append(ids[a])
-            out.append(near @ copies[b])
-        if not out:
-            return pa.table({"id": pa.array([], pa.int64()), "others": pa.array([], pa.int64())})
-        return pa.table({"id": pa.array(np.concatenate(out_ids), pa.int64()), "others": pa.array(np.concatenate(out), pa.int64())})
+            near = np.stack([vectors[k] for k in a]) @ np.stack([vectors[k] for k in b]).T >= threshold
+            if key[1] == key[2]:
+                np.fill_diagonal(near, False)
+                out[a] += near @ copies[b]
+            else:
+                out[a] += near @ copies[b]
+                out[b] += copies[a] @ near
+        return ids, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                block, ids, units, copies = zip(*held)
+                found = counted(key, np.array(block), np.array(ids), list(units), np.array(copies))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["id", "others"])
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for label, i, j, *row in zip(*columns):
+                if (label, i, j) != key:
+                    yield from done()
+                    held, key = [], (label, i, j)
+                held.append(row)
+        yield from done()
 
-    return left.unionByName(right).groupBy("label", "i", "j").applyInArrow(count, "id bigint, others bigint").groupBy("id").agg(F.sum("others").alias("others"))
+    return rows.mapInArrow(run, "id bigint, others bigint").groupBy("id").agg(F.sum("others").alias("others"))
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -188,7 +274,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
     """
     start = mark()
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    hashed = written(_hashed(rows.where("id is not null")), "vectors")
+    small_batches(rows.sparkSession)
+    hashed = written(_hashed(rows.where("id is not null"), design(max(1, rows.count()), threshold)), "vectors")
     members = hashed.select("id", "unit").distinct().withColumn("digest", F.sha2("unit", 256)).select("id", "digest")
     classes = members.groupBy("digest").agg(F.min("id").alias("rep"), F.count("id").alias("copies"))
     member = written(members.join(classes, "digest").groupBy("id").agg(F.min("rep").alias("rep")), "members")

@@ -190,17 +190,30 @@ def test_vectors(spark, monkeypatch):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_cells_recall():
+@pytest.mark.parametrize("n", [500, 4_000, 64_000, 10**6])
+def test_cells_recall(n):
+    plan = lattice.design(n, 0.9)
     rng = np.random.default_rng(3)
     a = rng.normal(size=(1500, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.normal(size=a.shape)
     b -= (b * a).sum(axis=1, keepdims=True) * a
     b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    (own_a, near_a, s_a), (own_b, near_b, s_b) = lattice.cells(a), lattice.cells(b)
+    (own_a, near_a, s_a), (own_b, near_b, s_b) = lattice.cells(a, plan), lattice.cells(b, plan)
     hit = np.array([bool(set(x) & set(p) | set(x) & set(q) | set(y) & set(z)) for x, p, q, y, z in zip(own_a, own_b, near_b, own_b, near_a)])
     apart = np.array([sum(int(u ^ v).bit_count() if u ^ v >= 0 else int((int(u) ^ int(v)) & (2**64 - 1)).bit_count() for u, v in zip(x, y)) for x, y in zip(s_a.tolist(), s_b.tolist())])
-    assert hit.mean() > 0.97 and (apart <= lattice.sign_limit(0.9)).mean() > 0.999
+    assert hit.mean() > 0.99 and (apart <= lattice.sign_limit(0.9)).mean() > 0.999
+
+
+def test_pairs_met_by_chance_do_not_follow_the_table():
+    met = {}
+    for n in (4_000, 64_000):
+        u = np.random.default_rng(4).normal(size=(n, 64))
+        own, probed, _ = lattice.cells(u / np.linalg.norm(u, axis=1, keepdims=True), lattice.design(n, 0.9))
+        keys, counts = np.unique(own.ravel(), return_counts=True)
+        at = np.minimum(np.searchsorted(keys, probed.ravel()), len(keys) - 1)
+        met[n] = ((counts * (counts - 1)).sum() + counts[at][keys[at] == probed.ravel()].sum()) / n
+    assert met[64_000] < 2.5 * met[4_000]
 
 
 # ------------------------------------------------------------------ SQL and pipeline
