@@ -36,9 +36,10 @@ REGISTERS = 144
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Chance at most that a pair just at the threshold meets in no band.
 MISS = 2e-5
-#: Likeliest similarities below the threshold: of candidates that are verified (four standard errors), of
-#: members that are settled by a centre, and the error allowed for (two standard errors) of close ones.
-SLACK, SETTLED, ERROR = 0.12, 0.10, 0.08
+#: Standard errors below the threshold from which a likeliest similarity is verified.
+STANDARD_ERRORS = 5.5
+#: Likeliest similarities below the threshold of members that are settled by a centre, and the error allowed for of close ones.
+SETTLED, ERROR = 0.10, 0.08
 #: Centres of a bucket that are tried before its remaining members are judged in pairs.
 ROUNDS = 8
 #: Shingles of a block.
@@ -52,6 +53,11 @@ def rows_per_band(threshold: float) -> int:
     return max((r for r in range(1, 17) if (1 - threshold**r) ** (REGISTERS // r) <= MISS), default=1)
 
 
+def slack(threshold: float) -> float:
+    """How far below the threshold the likeliest similarity of a pair at it may fall."""
+    return STANDARD_ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set of hashed elements."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
@@ -173,6 +179,7 @@ class _Union(dict):
 def _block_links(ids: list[int], blocks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], same_block: bool) -> list[tuple[int, int]]:
     """Links that merge the members of a block, or of two blocks, likeliest pairs first."""
     threshold = share[0] / share[1]
+    least = threshold - slack(threshold)
     sizes = np.array([len(s) for s in sets], float)
     found: list[tuple[float, int, int]] = []
     first = np.arange(len(ids)) if same_block else np.flatnonzero(blocks == blocks.min())
@@ -181,10 +188,10 @@ def _block_links(ids: list[int], blocks: np.ndarray, sketch: np.ndarray, sets: l
         others = second[at + 1 :] if same_block else second
         others = others[share[1] * np.minimum(sizes[others], sizes[a]) >= share[0] * np.maximum(sizes[others], sizes[a])]
         equal = (sketch[others] == sketch[a]).mean(axis=1)
-        others = others[equal >= threshold - SLACK - ERROR]
+        others = others[equal >= least - ERROR]
         if len(others):
             like = likeliest_similarity(np.broadcast_to(sketch[a], (len(others), REGISTERS)), sketch[others], np.full(len(others), sizes[a]), sizes[others])
-            found += [(-x, a, b) for x, b in zip(like.tolist(), others.tolist()) if x >= threshold - SLACK]
+            found += [(-x, a, b) for x, b in zip(like.tolist(), others.tolist()) if x >= least]
     out, union = [], _Union()
     for _, a, b in sorted(found):
         ra, rb = union.find(ids[a]), union.find(ids[b])
@@ -247,8 +254,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, share: tuple[int, int]
     rows = rows_per_band(threshold)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = written(sketches(docs, words, rows, "id"), "sketches")
-    classes = table.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = written(table.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "members")
+    keyed = F.col("digest").isNotNull() & F.col("id").isNotNull()
+    # As a table of its own the classes are a plain side of the join: adaptive execution can then split a common digest.
+    classes = written(table.where(keyed).groupBy("digest").agg(F.min("id").alias("rep")), "digests")
+    alone = table.where(~keyed).select("id", "n", F.lit(None).cast("bigint").alias("rep"))
+    members = written(table.where(keyed).select("id", "n", "digest").join(classes, "digest").select("id", "n", "rep").unionByName(alone), "members")
     firsts = members.where("id = rep").select("id").distinct()
     reps = written(table.where("digest is not null").join(firsts, "id").dropDuplicates(["id", "digest"]).select("id", "n", "registers", "bands"), "classes")
     # A document whose rows have different texts belongs to several classes, which it links.

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -230,6 +231,28 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, got), key=repr) == sorted(result.fetchall(), key=repr)
 
 
+def test_pipeline_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labelled = docs.where("lang = 'en'").limit(3).collect()
+    other = docs.where("lang = 'de'").orderBy(F.length("text").desc()).limit(2).collect()
+    add = [(None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, "12 34", "en", "s", 5), (900_003, other[0]["text"], None, "s", 1), (900_003, other[0]["text"], None, "s", 1), (900_004, labelled[0]["text"], "en", "s", 1), (900_004, "ein ganz anderer Text " + other[1]["text"][::-1], "de", "s", 2)]
+    odd = docs.withColumn("extra", F.lit(1)).unionByName(spark.createDataFrame([(*r, 2) for r in add], "doc_id bigint, text string, lang string, source string, n_chars bigint, extra int"))
+    made = cp.identify_language(spark, odd, folder)
+    langs = {r["lang"] for r in made.where("doc_id = 900003").collect()}
+    assert langs == {"de"} and made.where("doc_id in (900001, 900002) or doc_id is null").count() == 0 and tuple(made.columns) == cp.COLUMNS
+    rest = cp.remove_near_duplicates(spark, odd, folder)
+    rows = rest.where("doc_id >= 900001 or doc_id is null").collect()
+    # The copy of a labelled text goes, the other text of its id stays; equal rows without a smaller copy leave one row at most.
+    assert [r["text"] for r in rows if r["doc_id"] == 900_004] == [add[-1][1]]
+    assert len([r for r in rows if r["doc_id"] is None]) == 1 and len([r for r in rows if r["doc_id"] == 900_003]) == 0 and len([r for r in rows if r["doc_id"] in (900_001, 900_002)]) >= 1
+    assert cp.replace_personal_data(spark, odd, folder).count() == odd.count()
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
