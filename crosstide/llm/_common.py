@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
 from crosstide.sources import files
 
-_written: list[tuple[SparkSession, str]] = []
+
+class _Tables(threading.local):
+    """What a thread has written, in order: marks of one thread say nothing of another's tables."""
+
+    def __init__(self):
+        self.own: list[tuple[SparkSession, str]] = []
+
+
+_tables = _Tables()
+#: The tables of all threads, which go when the interpreter ends.
+_everyone: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +32,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = files.scratch(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
+    _tables.own.append((spark, path))
+    _everyone[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -29,20 +41,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def mark() -> int:
     """A point in the sequence of written tables, for discard_since."""
-    return len(_written)
+    return len(_tables.own)
 
 
 def discard_since(point: int, *kept: DataFrame) -> None:
     """Delete the tables written since the point but those kept: nothing that is still lazy may read the others."""
     paths = {getattr(df, "_written_at", None) for df in kept}
-    for spark, path in _written[point:]:
+    for spark, path in _tables.own[point:]:
         if path not in paths:
             discard(spark, path)
-    _written[point:] = [(spark, path) for spark, path in _written[point:] if path in paths]
+    _tables.own[point:] = [(spark, path) for spark, path in _tables.own[point:] if path in paths]
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table; a session that has ended has nothing to delete."""
+    _everyone.pop(path, None)
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc.sc().isStopped():
         return
@@ -52,7 +65,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _discard_all() -> None:
-    for spark, path in _written:
+    for path, spark in list(_everyone.items()):
         try:
             discard(spark, path)
         except Exception:  # the JVM may already be gone when the interpreter ends
@@ -60,7 +73,10 @@ def _discard_all() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that Python workers hold: rows of whole texts can be long."""
+    """Bound the Arrow batches that Python workers hold, for rows of whole texts can be long.
+
+    Spark reads the setting when a plan runs, so it is lowered for the session; a lower one stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))

@@ -16,6 +16,7 @@ lanes of 32 bits.
 from __future__ import annotations
 
 from itertools import combinations
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,6 @@ WORD = 64
 WORDS = 2
 BITS = WORD * WORDS
 CHUNK_TERMS = 8_191
-MAX_RANGES = 4096
-ROWS_IN_RANGE = 512
 #: Of the search: bits that may differ (of near copies mostly 20 at most), and blocks.
 RADIUS, BLOCKS = 20, 7
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -89,15 +88,33 @@ def likeness(a: list[Column], b: list[Column]) -> Column:
 
 
 def _ranges(df: DataFrame, id_col: str) -> list[int]:
-    """Ids that end ranges of about equal size, the largest id last; at most MAX_RANGES of them."""
+    """Ids that end ranges of about equal size, the largest id last; about as many as the root of the rows.
+
+    So both the ranges and what the driver holds of them grow with the root: 100,000 ends
+    for ten thousand million rows.
+    """
     n, top = df.agg(F.count(id_col), F.max(id_col)).first()
     if top is None:
         return []
-    k = max(1, min(MAX_RANGES, n // ROWS_IN_RANGE))
+    k = max(1, isqrt(n))
     marks = df.agg(F.percentile_approx(id_col, [i / k for i in range(1, k)] or [0.5], 20 * k)).first()[0] if k > 1 else []
     return sorted({*marks, top})
 
 
+def _place(ends: list[int], x: Column) -> tuple[Column, Column]:
+    """The number of ends below x, by two lookups in about the root of them, and whether x is an end. A null is in range 0."""
+    if not ends:
+        return F.lit(0), F.lit(False)
+    step = max(1, isqrt(len(ends)))
+    # Text that is split and cast folds to one literal; a literal for each end would swell the plan.
+    numbers = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    below = lambda values: F.size(F.filter(values, lambda v: v < x))
+    whole = below(numbers(ends[step - 1 :: step])) * step
+    place = F.coalesce(whole + below(F.slice(numbers(ends), whole + 1, step)), F.lit(0))
+    place = F.when(x.isNull(), 0).otherwise(place)
+    return place, F.coalesce(F.get(numbers(ends), place) == x, F.lit(False))
+
+
 def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_every: int | None = None) -> DataFrame:
     """One row per row of documents: the fingerprints of its text and of its edited text.
 
@@ -117,9 +134,8 @@ def fingerprint_and_edit(documents: DataFrame, id_col: str = "doc_id", text_col:
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ends = _ranges(docs, "doc_id")
     last = max(1, len(ends))
-    marks = F.array(*[F.lit(x).cast("long") for x in ends]) if ends else F.array().cast("array<bigint>")
-    place = F.coalesce(F.size(F.filter(marks, lambda x: x < F.col("doc_id"))), F.lit(0))
-    ranged = docs.withColumn("_r", place).withColumn("_at", F.explode(F.when(F.array_contains(marks, F.col("doc_id")), F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy")), F.struct(((F.col("_r") + 1) % last).alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy"))))))
+    place, at_end = _place(ends, F.col("doc_id"))
+    ranged = docs.withColumn("_r", place).withColumn("_at", F.explode(F.when(at_end, F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy")), F.struct(((F.col("_r") + 1) % last).alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_r").alias("r"), F.lit(False).alias("copy"))))))
     ranged = ranged.select(F.col("_at.r").alias("r"), F.col("_at.copy").alias("copy"), "doc_id", "text")
     in_order = Window.partitionBy("r").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
     rows = ranged.select("r", "copy", "doc_id", "text", F.row_number().over(in_order).alias("rn"), F.lead("text").over(in_order).alias("next")).where(~F.col("copy"))

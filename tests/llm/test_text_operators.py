@@ -469,8 +469,15 @@ def test_urls_against_brute_force(spark):
 
 
 # ------------------------------------------------------------------ SimHash
-def test_simhash_rows(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "ROWS_IN_RANGE", 7)
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 50, 101])
+def test_simhash_places(spark, n):
+    ends = sorted(random.Random(n).sample(range(-500, 500), n))
+    place, at_end = simhash._place(ends, F.col("x"))
+    got = spark.createDataFrame([(x,) for x in [*range(-510, 510, 3), *ends, None]], "x bigint").select("x", place.alias("p"), at_end.alias("e")).collect()
+    assert all((r["p"], r["e"]) == ((sum(e < r["x"] for e in ends), r["x"] in ends) if r["x"] is not None else (0, False)) for r in got)
+
+
+def test_simhash_rows(spark):
     r = random.Random(2)
     texts = {i: " ".join(r.choices("alpha beta gamma delta epsilon zeta eta théta".split(), k=r.randint(0, 60))) for i in r.sample(range(1000), 90)}
     texts[2000], texts[2001], texts[-5] = None, "lone", ""
