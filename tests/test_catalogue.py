@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from crosstide.plans import catalogue
+from crosstide.plans import catalogue, catalogue_ledger, catalogue_runs  # noqa: F401  the last two register theirs
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
