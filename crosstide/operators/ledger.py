@@ -253,10 +253,12 @@ def simulate(
     own = weights.select("strategy", F.col("di").cast("int").alias("di"), F.col("ii").cast("int").alias("ii"), nan_to_null("w").alias("w"))
     table = written if keep else lambda df, _: df
     own = table(own, "weights")
-    first, last, days, cells_n, given = own.agg(F.min("di"), F.max("di"), F.countDistinct("di"), F.count(F.lit(1)), F.count("w")).first()
+    # One pass: extent, cells and cells that occur twice.
+    once = own.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.count("w").alias("g"))
+    first, last, days, cells_n, given, most = once.agg(F.min("di"), F.max("di"), F.countDistinct("di"), F.sum("n"), F.sum("g"), F.max("n")).first()
     if first is None:
         raise SimError("weights are empty")
-    if not own.groupBy(*KEYS).count().where("count > 1").isEmpty():
+    if most > 1:
         raise SimError("a security has two weights on one session")
     axis = (securities or own).select("ii").distinct()
     span = own.groupBy("strategy").agg(F.min("di").alias("a"), F.max("di").alias("z"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crosstide.operators import gates, ledger
 from crosstide.plans import demo
 from crosstide.plans.catalogue import BOOK_CTE, _cells, r, register, rs
+from crosstide.sources import files
 
 #: One session of the ledger from the last one's positions, in SQL: each level adds what the next one needs.
 STEP = """SELECT di, ii, after + settle AS pos, frozen, prev, hp, moved, target, wanted, delta, abs(delta) * 0.001 AS cost, settle, hp - abs(delta) * 0.001 AS pnl, ghost, CASE WHEN was AND tradable THEN hp ELSE 0.0 END AS reprice, avail, stuck, tradable, missing, w, free, growth
@@ -40,9 +41,11 @@ gsum AS (SELECT di, sum(CASE WHEN pos > 0 THEN pos ELSE 0 END) AS long_value, su
 gdays AS MATERIALIZED (SELECT *, sum(flow) OVER (ORDER BY di) AS cash_account, net + sum(flow) OVER (ORDER BY di) AS nav FROM gsum)"""
 
 
-def _general(spark, d, **options):
-    book = demo.sp_book(spark, d).select("di", F.col("ii").cast("int").alias("ii"), "w", "ret")
-    return ledger.simulate(book.select("di", "ii", "w"), book.select("di", "ii", "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), ghost_tolerance=1.0, **options)
+def _general(spark, d, capped: bool = False, **options):
+    """The demonstration book, written once as a store would hold it, through the ledger."""
+    book = files.written(demo.sp_book(spark, d).select("di", F.col("ii").cast("int").alias("ii"), "w", "ret", (F.col("px") * F.col("vol")).alias("adv")), "book")
+    adv = book.select("di", "ii", "adv") if capped else None
+    return ledger.simulate(book.select("di", "ii", "w"), book.select("di", "ii", "ret"), booksize=demo.BOOK, cost_bps=10.0, halt_proxy=options.pop("halt_proxy", 0), ghost_tolerance=1.0, adv_dollar=adv, **options)
 
 
 SHOWN = [c for c in ledger.DAILY_COLUMNS if c != "oop_weight"]
@@ -70,9 +73,7 @@ def ledger_general_daily(spark, d):
 @register("WITH RECURSIVE " + general_sql(False, True) + f" SELECT di::INTEGER AS di, {_days()} FROM gdays")
 def ledger_capped_fold(spark, d):
     """The fold with a limit of a tenth of each name's dollar volume: its daily roll-up."""
-    grid = demo.sp_grid(spark, d)
-    adv = grid.select("di", F.col("ii").cast("int").alias("ii"), (F.col("px") * F.col("vol")).alias("adv"))
-    return _rolled(_general(spark, d, adv_dollar=adv).daily)
+    return _rolled(_general(spark, d, capped=True).daily)
 
 
 @register("WITH RECURSIVE " + general_sql(True, False) + """ SELECT CAST(sum(ghost::INT) AS BIGINT) AS ghost_cells, count(DISTINCT CASE WHEN ghost THEN di END) AS ghost_days, CAST(sum((c.halted)::INT) AS BIGINT) AS halt_cells,

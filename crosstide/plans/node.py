@@ -19,7 +19,7 @@ from crosstide.plans import freshness, naming, project
 from crosstide.plans.config import NodeSpec, Spec
 from crosstide.plans.ctx import Ctx, DayCtx, Lookback, Value, _column
 from crosstide.sources import files
-from crosstide.sources.panels import FILLS, TYPES, Panels, StoreError
+from crosstide.sources.panels import FILLS, TYPES, Panels, PanelUniverse, StoreError
 
 
 def load_module(path: Path):
@@ -48,10 +48,7 @@ def _inputs(panels: Panels, spec: Spec, refs: list[str], i0: int, i1: int) -> tu
     frame = axes.grid(i0, i1).join(F.broadcast(axes.session_table(i0, i1)), "di")
     sd, ed = axes.date(i0), axes.date(i1 - 1)
     if spec.universe:
-        if not panels.exists(spec.universe):
-            raise StoreError(f"the pool {spec.universe} is not in the store")
-        pool = panels.read(spec.universe, sd, ed).select("di", "ii", cs.member("value").alias("in_pool"))
-        frame = frame.join(pool, ["di", "ii"], "left").withColumn("in_pool", F.coalesce("in_pool", F.lit(False)))
+        frame = frame.join(PanelUniverse(panels, spec.universe).mask(i0, i1), ["di", "ii"], "left").withColumn("in_pool", F.coalesce("in_pool", F.lit(False)))
     else:
         frame = frame.withColumn("in_pool", F.lit(True))
     columns, ranks = {}, {}

@@ -40,6 +40,35 @@ class Panels(Protocol):
     def write(self, ref: str, df: DataFrame, **options) -> dict: ...
 
 
+@runtime_checkable
+class UniverseLike(Protocol):
+    """What a chain needs of a pool: who is in it, and the groups of its neutralize operators."""
+
+    def mask(self, i0: int, i1: int) -> DataFrame: ...
+    def group(self, ref: str, i0: int, i1: int) -> DataFrame: ...
+
+
+class PanelUniverse:
+    """A pool that is a panel of a store: (di, ii, in_pool) and (di, ii, g) of the sessions [i0, i1)."""
+
+    def __init__(self, panels: Panels, ref: str):
+        self.panels, self.ref = panels, ref
+
+    def _cells(self, ref: str, i0: int, i1: int) -> DataFrame:
+        axes = self.panels.axes
+        return self.panels.read(ref, axes.date(i0), axes.date(i1 - 1))
+
+    def mask(self, i0: int, i1: int) -> DataFrame:
+        if not self.panels.exists(self.ref):
+            raise StoreError(f"the pool {self.ref} is not in the store")
+        # Membership is a value above 0; what is absent is outside.
+        inside = F.coalesce(F.col("value").cast("double") > 0, F.lit(False))
+        return self._cells(self.ref, i0, i1).select("di", "ii", inside.alias("in_pool"))
+
+    def group(self, ref: str, i0: int, i1: int) -> DataFrame:
+        return self._cells(ref, i0, i1).withColumnRenamed("value", "g")
+
+
 def keys(dims: list[str] | tuple[str, ...]) -> list[str]:
     return list(dims)
 

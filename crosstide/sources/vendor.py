@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosstide.functions.scalar import fold_symbol, market_date, utc_date, vendor_symbol
+from crosstide.sources import files
 
 CHART = """chart struct<error: struct<code: string, description: string>, result: array<struct<
   meta: struct<symbol: string, firstTradeDate: bigint, currency: string, exchangeName: string, instrumentType: string>,
@@ -101,24 +105,89 @@ def symbol_key(c: str) -> Column:
     return fold_symbol(c)
 
 
-def fetch(symbols: list[str], get: Callable[[str], bytes], save: Callable[[str, bytes], None], have: Callable[[str], bool], tries: int = 4, pause: float = 0.5, rate: float = 6.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
-    """Download what is not there yet, at most rate a second, with growing pauses after failures.
+class Refused(Exception):
+    """The vendor asks for fewer requests (its transport saw status 429)."""
+
+
+class Pace:
+    """When requests may start, and how many at once; both shrink when refusals go on.
+
+    Starts follow a schedule: each moves the next one by 1 / rate, and a start may be
+    early by the length of a burst. Of the permits for requests under way, a shrink
+    keeps one back for good.
+    """
+
+    #: Refusals before the first shrink (they double after each), the factor of the rate and its floor, and the longest burst.
+    FIRST_SHRINK, FACTOR, FLOOR, BURST = 3, 0.5, 1.0, 4.0
+
+    def __init__(self, rate: float, workers: int = 1, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.rate, self.workers = float(rate), workers
+        self.refusals, self.shrinks = 0, []
+        self._sleep, self._clock = sleep, clock
+        self._lock, self._permits = threading.Lock(), threading.Semaphore(workers)
+        self._due = clock()
+
+    def start(self) -> None:
+        """Wait for a permit and for the schedule."""
+        self._permits.acquire()
+        with self._lock:
+            now, step = self._clock(), 1.0 / self.rate
+            early = (max(1.0, min(self.rate, self.BURST)) - 1.0) * step
+            self._due = max(self._due, now)
+            wait = self._due - early - now
+            self._due += step
+        if wait > 0:
+            self._sleep(wait)
+
+    def end(self, refused: bool = False) -> None:
+        """Give the permit back, or keep it if this refusal shrinks the job."""
+        keep = False
+        with self._lock:
+            self.refusals += refused
+            if refused and self.refusals >= self.FIRST_SHRINK << len(self.shrinks):
+                self.rate = max(self.FLOOR, self.rate * self.FACTOR)
+                keep = self.workers > 1
+                self.workers -= keep
+                self.shrinks.append((self.refusals, self.rate, self.workers))
+        if not keep:
+            self._permits.release()
+
+
+def fetch(symbols: list[str], get: Callable[[str], bytes], save: Callable[[str, bytes], None], have: Callable[[str], bool], tries: int = 4, pause: float = 0.5, rate: float = 6.0, sleep: Callable[[float], None] = time.sleep, workers: int = 1, pace: Pace | None = None) -> dict[str, str]:
+    """Download what is not there yet by several workers, at most rate a second, with growing pauses after failures.
 
     get, save and have stand for the transport and the cache, so that nothing here
-    needs a network. Returns the outcome of each symbol.
+    needs a network; get raises Refused where the vendor throttles. Returns the
+    outcome of each symbol, in order of the symbols.
     """
-    out = {}
-    for symbol in symbols:
+    pace = pace or Pace(rate, workers, sleep)
+
+    def one(symbol: str) -> str:
         if have(symbol):
-            out[symbol] = "cached"
-            continue
+            return "cached"
+        outcome = ""
         for k in range(tries):
-            sleep(1.0 / rate)
+            refused = False
+            pace.start()
             try:
                 save(symbol, get(symbol))
-                out[symbol] = "fetched"
-                break
+                return "fetched"
+            except Refused as e:
+                refused, outcome = True, f"refused: {e}"
             except Exception as e:  # the transport's own errors: try again, then report
-                out[symbol] = f"failed: {e}"
-                sleep(pause * 2**k)
-    return out
+                outcome = f"failed: {e}"
+            finally:
+                pace.end(refused)
+            sleep(pause * 2**k)
+        return outcome
+
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(symbols, pool.map(one, symbols)))
+
+
+def write_manifest(spark: SparkSession, path: str, charts: DataFrame, outcomes: dict[str, str]) -> int:
+    """A line of JSON per symbol, in order: how it was fetched and what inspect() says of its payload. Returns the lines."""
+    seen = {r["symbol"]: r.asDict() for r in inspect(charts).collect()}  # one row per symbol
+    rows = [{"symbol": name, "outcome": outcomes.get(name), **{k: str(v) if hasattr(v, "isoformat") else v for k, v in seen.get(name, {}).items() if k != "symbol"}} for name in sorted({*outcomes, *seen})]
+    files.write_text(spark, path, "".join(json.dumps(r) + "\n" for r in rows))
+    return len(rows)

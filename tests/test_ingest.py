@@ -165,6 +165,45 @@ def test_fetch_retries():
     assert out == {"A": "fetched", "B": "cached"} and saved == {"A": b"x"} and len(calls) == 3
 
 
+def test_pace_shrinks_when_refusals_go_on():
+    now, slept = [0.0], []
+
+    def sleep(x):
+        slept.append(x)
+        now[0] += x
+
+    pace = vendor.Pace(8, 3, sleep, lambda: now[0])
+    for _ in range(10):
+        pace.start()
+        pace.end()
+    assert now[0] == pytest.approx(6 / 8)  # four at once, then one each eighth of a second
+    for _ in range(6):
+        pace.start()
+        pace.end(refused=True)
+    assert pace.shrinks == [(3, 4.0, 2), (6, 2.0, 1)]
+    for _ in range(20):
+        pace.start()
+        pace.end(refused=True)
+    assert (pace.rate, pace.workers) == (1.0, 1)
+
+
+def test_fetch_by_several_workers(spark, tmp_path):
+    saved, busy = {}, {"n": 0}
+
+    def get(symbol):
+        if symbol == "S07" and busy["n"] < 2:
+            busy["n"] += 1
+            raise vendor.Refused("slow down")
+        return symbol.encode()
+
+    names = [f"S{i:02d}" for i in range(20)]
+    out = vendor.fetch(names, get, saved.__setitem__, lambda x: x == "S03", sleep=lambda _: None, workers=4)
+    assert list(out) == names and out["S03"] == "cached" and all(out[n] == "fetched" for n in names if n != "S03") and len(saved) == 19
+    charts = vendor.parse_charts(spark.createDataFrame([("S01", "{}")], "symbol string, payload string"))
+    assert vendor.write_manifest(spark, f"{tmp_path}/manifest.jsonl", charts, out) == 20
+    assert (tmp_path / "manifest.jsonl").read_text().splitlines()[0].startswith('{"symbol": "S00", "outcome": "fetched"')
+
+
 def test_cursor():
     c = daily.Cursor()
     c.advance(3)
