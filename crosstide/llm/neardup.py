@@ -42,6 +42,8 @@ STANDARD_ERRORS = 5.5
 SETTLED, ERROR = 0.10, 0.08
 #: Centres of a bucket that are tried before its remaining members are judged in pairs.
 ROUNDS = 8
+#: Candidate pairs that are judged or passed over at once.
+JUDGED_TOGETHER = 4096
 #: Shingles of a block.
 BLOCK_SHINGLES = 400_000
 
@@ -168,20 +170,16 @@ def _families(reps: DataFrame, threshold: float) -> DataFrame:
     return components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-class _Union(dict):
-    def find(self, x: int) -> int:
-        while self.setdefault(x, x) != x:
-            self[x] = self[self[x]]
-            x = self[x]
-        return x
-
-
 def _block_links(ids: list[int], blocks: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], same_block: bool) -> list[tuple[int, int]]:
-    """Links that merge the members of a block, or of two blocks, likeliest pairs first."""
+    """Links that merge the members of a block, or of two blocks, likeliest pairs first.
+
+    Candidates are kept as three numbers each, so a block of near copies takes tens of
+    megabytes; those within one component by then are passed over in bulk.
+    """
     threshold = share[0] / share[1]
     least = threshold - slack(threshold)
     sizes = np.array([len(s) for s in sets], float)
-    found: list[tuple[float, int, int]] = []
+    likely, left, right = [], [], []
     first = np.arange(len(ids)) if same_block else np.flatnonzero(blocks == blocks.min())
     second = first if same_block else np.flatnonzero(blocks != blocks.min())
     for at, a in enumerate(first):
@@ -189,19 +187,36 @@ def _block_links(ids: list[int], blocks: np.ndarray, sketch: np.ndarray, sets: l
         others = others[share[1] * np.minimum(sizes[others], sizes[a]) >= share[0] * np.maximum(sizes[others], sizes[a])]
         equal = (sketch[others] == sketch[a]).mean(axis=1)
         others = others[equal >= least - ERROR]
-        if len(others):
-            like = likeliest_similarity(np.broadcast_to(sketch[a], (len(others), REGISTERS)), sketch[others], np.full(len(others), sizes[a]), sizes[others])
-            found += [(-x, a, b) for x, b in zip(like.tolist(), others.tolist()) if x >= least]
-    out, union = [], _Union()
-    for _, a, b in sorted(found):
-        ra, rb = union.find(ids[a]), union.find(ids[b])
-        if ra == rb:
-            continue
-        small, big = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
-        both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
-        if share[1] * both >= share[0] * (len(small) + len(big) - both):
-            union[ra] = rb
-            out.append((ids[a], ids[b]))
+        for part in np.array_split(others, -(-len(others) // JUDGED_TOGETHER)) if len(others) else ():
+            like = likeliest_similarity(np.broadcast_to(sketch[a], (len(part), REGISTERS)), sketch[part], np.full(len(part), sizes[a]), sizes[part])
+            good = like >= least
+            likely.append(like[good].astype(np.float32))
+            right.append(part[good].astype(np.int32))
+            left.append(np.full(int(good.sum()), a, np.int32))
+    if not likely:
+        return []
+    likely, left, right = (np.concatenate(c) for c in (likely, left, right))
+    order = np.argsort(-likely, kind="stable")
+    # Equal ids (rows of one document with different texts) are one from the start.
+    label = np.unique(np.array(ids), return_inverse=True)[1]
+    members: dict[int, list[int]] = {}
+    for k, x in enumerate(label.tolist()):
+        members.setdefault(x, []).append(k)
+    out = []
+    for at in range(0, len(order), JUDGED_TOGETHER):
+        part = order[at : at + JUDGED_TOGETHER]
+        for k in part[label[left[part]] != label[right[part]]].tolist():
+            a, b = int(left[k]), int(right[k])
+            x, y = int(label[a]), int(label[b])
+            if x == y:
+                continue
+            small, big = (sets[a], sets[b]) if len(sets[a]) < len(sets[b]) else (sets[b], sets[a])
+            both = int((big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small).sum())
+            if share[1] * both >= share[0] * (len(small) + len(big) - both):
+                x, y = (x, y) if len(members[x]) >= len(members[y]) else (y, x)
+                label[members[y]] = x
+                members[x] += members.pop(y)
+                out.append((ids[a], ids[b]))
     return out
 
 
